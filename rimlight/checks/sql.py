@@ -160,7 +160,7 @@ binaries as (
   select md5(cast(l.doc_id as varchar)) as item_id, 17 + d.n_chars * 836 as length
   from labels l join documents d on l.doc_id = d.doc_id where quality = 1 and l.doc_id % 5 <> 0
   union all select concat('orphan', cast(r_regionkey as varchar)), 17 from region where r_regionkey < 3),
-files as (select concat('/media/', source, '/', cast(doc_id as varchar), '.mkv') as path from documents where doc_id % 13 <> 0),
+files as (select concat('/media/', source, '/', cast(doc_id as varchar), '.mkv') as path from documents where n_chars >= 400),
 allowed as (select * from catalog where item_type in ('Movie', 'Episode') and path is not null and path <> ''
             and library_id <> md5('es')),
 pending as (

@@ -195,10 +195,9 @@ def binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing of existing media files; every thirteenth is missing."""
-    d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").where("doc_id % 13 <> 0").select(F.concat(
-        F.lit("/media/"), "source", F.lit("/"), d.cast("string"), F.lit(".mkv")).alias("path"))
+    """Listing of existing media files; those of very short documents are missing."""
+    return table(spark, sf_dir, "documents").where("n_chars >= 400").select(F.concat(
+        F.lit("/media/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mkv")).alias("path"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,18 +34,20 @@ def infer_fps(spark, sf):
 
 def timed_frames(spark, sf):
     frames = D.led_frames(spark, sf)
-    return TL.frame_dt(frames, TL.infer_fps(D.led_titles(spark, sf), frames))
+    return TL.frame_clock(frames, TL.infer_fps(D.led_titles(spark, sf), frames))
 
 
 @check(f"with {TIMED} select title_id, frame_idx, round(dt_s, 9) as dt_s from timed")
 def frame_dt(spark, sf):
-    return timed_frames(spark, sf).select("title_id", "frame_idx", F.round("dt_s", 9).alias("dt_s"))
+    frames = D.led_frames(spark, sf)
+    timed = TL.frame_dt(frames, TL.infer_fps(D.led_titles(spark, sf), frames))
+    return timed.select("title_id", "frame_idx", F.round("dt_s", 9).alias("dt_s"))
 
 
 @check(f"""with {TIMED} select title_id, frame_idx, round(sum(dt_s) over (partition by title_id order by frame_idx), 8) as clock_s
        from timed""")
 def frame_clock(spark, sf):
-    return tone.with_clock(timed_frames(spark, sf)).select("title_id", "frame_idx", F.round("clock_s", 8).alias("clock_s"))
+    return timed_frames(spark, sf).select("title_id", "frame_idx", F.round("clock_s", 8).alias("clock_s"))
 
 
 @check("""select event_id, cast(floor(coalesce(case when event_id % 10 <> 0 then value * 10 end, 60) *
@@ -234,7 +236,7 @@ ema as (
        "round(ab, 5) as ab, round(aw, 5) as aw from ema")
 def smooth(spark, sf):
     tuning = Tuning()
-    clock = tone.with_clock(timed_frames(spark, sf)).select("title_id", "frame_idx", "dt_s", "clock_s")
+    clock = timed_frames(spark, sf).select("title_id", "frame_idx", "dt_s", "clock_s")
     rows = tone.tune(D.led_samples(spark, sf), tuning).join(clock, ["title_id", "frame_idx"])
     out = tone.smooth(rows, ["title_id", "led_idx"], {
         "ar": ("tr", "r"), "ag": ("tg", "g"), "ab": ("tb", "b"), "aw": ("w", "w")}, tuning.tau)
@@ -243,7 +245,7 @@ def smooth(spark, sf):
 
 @check(f"with recursive {ema(STRONG)} select title_id, frame_idx, led_idx, {finished(STRONG)} from ema")
 def display_samples(spark, sf):
-    clock = tone.with_clock(timed_frames(spark, sf))
+    clock = timed_frames(spark, sf)
     return tone.display_samples(D.led_samples(spark, sf), clock, STRONG)
 
 
@@ -252,7 +254,7 @@ def display_samples(spark, sf):
        from o group by all""")
 def smooth_frames(spark, sf):
     """The packed kernel, with spans of a second; the strip is turned by three lights."""
-    frames = tone.with_clock(timed_frames(spark, sf)).withColumns(
+    frames = timed_frames(spark, sf).withColumns(
         {"channels": F.lit(4), "total_tgt": F.lit(16), "turn": F.lit(3)})
     return run_kernel(frames, ["title_id"], STRONG, span_s=1.0).select(
         "title_id", "frame_idx", F.hex("payload").alias("payload_hex"))

@@ -42,16 +42,26 @@ def infer_fps(titles: DataFrame, frames: DataFrame) -> DataFrame:
 
 def frame_dt(frames: DataFrame, rates: DataFrame) -> DataFrame:
     """Add ``dt_s``: seconds since the previous frame, or one frame period if that is not positive."""
+    return _gaps(frames, rates).drop(ordered.CHUNK)
+
+
+def frame_clock(frames: DataFrame, rates: DataFrame) -> DataFrame:
+    """Add ``dt_s`` and ``clock_s``, the running sum of the gaps of a title.
+
+    Both passes window the same (title, chunk) groups, so the rows are exchanged once.
+    """
+    return ordered.with_carry(_gaps(frames, rates), ["title_id"], ["frame_idx"], sums={
+        "clock_s": F.col("dt_s")}).drop(ordered.CHUNK)
+
+
+def _gaps(frames: DataFrame, rates: DataFrame) -> DataFrame:
+    rated = frames.join(rates.select("title_id", F.col("fps").alias("_fps")), "title_id")
     timed = ordered.with_carry(
-        frames.withColumn(ordered.CHUNK, ordered.frame_chunk()),
-        ["title_id"], ["frame_idx"], previous={"_prev_ts": F.col("ts_us")}).drop(ordered.CHUNK)
+        rated.withColumn(ordered.CHUNK, ordered.frame_chunk()),
+        ["title_id"], ["frame_idx"], previous={"_prev_ts": F.col("ts_us")})
     gap = (F.col("ts_us").cast("double") - F.col("_prev_ts").cast("double")) / F.lit(1e6)
-    rates = rates.select("title_id", F.col("fps").alias("_fps"))
-    return (
-        timed.join(rates, "title_id")
-        .withColumn("dt_s", F.when(gap > 0, gap).otherwise(F.lit(1.0) / F.col("_fps")))
-        .drop("_prev_ts", "_fps")
-    )
+    return timed.withColumn(
+        "dt_s", F.when(gap > 0, gap).otherwise(F.lit(1.0) / F.col("_fps"))).drop("_prev_ts", "_fps")
 
 
 def frame_luminance(samples: DataFrame) -> DataFrame:
@@ -104,10 +114,12 @@ def seek_frame(frames: DataFrame, lookups: DataFrame, bucket_us: int = SEEK_BUCK
     points = frames.select("title_id", "frame_idx", "ts_us").withColumn("_b", bucket("ts_us"))
     wanted = lookups.select("title_id", "target_us").distinct().withColumn("_b", bucket("target_us"))
 
-    per_bucket = points.groupBy("title_id", "_b").agg(
+    mixed = points.select("title_id", "_b", F.col("ts_us").alias("_t"), "frame_idx",
+                          F.lit(0).alias("_kind")).unionByName(
+        wanted.select("title_id", "_b", F.col("target_us").alias("_t"),
+                      F.lit(None).cast("long").alias("frame_idx"), F.lit(1).alias("_kind")))
+    buckets = mixed.groupBy("title_id", "_b").agg(
         F.min("frame_idx").alias("_min"), F.max("frame_idx").alias("_max"))
-    asked = wanted.select("title_id", "_b").distinct()
-    buckets = per_bucket.join(asked, ["title_id", "_b"], "full")
     later = Window.partitionBy("title_id").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     whole = Window.partitionBy("title_id").orderBy("_b").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -116,10 +128,6 @@ def seek_frame(frames: DataFrame, lookups: DataFrame, bucket_us: int = SEEK_BUCK
         F.min("_min").over(later).alias("_next"),
         F.max("_max").over(whole).alias("_last"))
 
-    mixed = points.select("title_id", "_b", F.col("ts_us").alias("_t"), "frame_idx",
-                          F.lit(0).alias("_kind")).unionByName(
-        wanted.select("title_id", "_b", F.col("target_us").alias("_t"),
-                      F.lit(None).cast("long").alias("frame_idx"), F.lit(1).alias("_kind")))
     # latest first; at equal times frames come before the lookup
     downwards = Window.partitionBy("title_id", "_b").orderBy(F.desc("_t"), "_kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

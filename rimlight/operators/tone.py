@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 
 from rimlight.functions import color
 from rimlight.model import Tuning
-from rimlight.operators import ordered
 from rimlight.operators.timeline import frame_luminance
 
 # exp(-40) is below double precision relative to a byte
@@ -43,13 +42,6 @@ def tune(samples: DataFrame, tuning: Tuning) -> DataFrame:
         {f"t{c}": F.col(f"_t.{c}") for c in "rgb"}).drop("_t")
 
 
-def with_clock(frames: DataFrame, keys: Sequence[str] = ("title_id",)) -> DataFrame:
-    """Add ``clock_s``, the running sum of ``dt_s`` of every sequence of frames."""
-    return ordered.with_carry(
-        frames.withColumn(ordered.CHUNK, ordered.frame_chunk()), keys, ["frame_idx"],
-        sums={"clock_s": F.col("dt_s")}).drop(ordered.CHUNK)
-
-
 def smooth(
     rows: DataFrame, keys: Sequence[str], values: Mapping[str, tuple[str, str]], tau: float,
 ) -> DataFrame:

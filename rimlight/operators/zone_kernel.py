@@ -24,63 +24,74 @@ from rimlight.model import (
 )
 from rimlight.operators.zones import zone_table
 
-# Frames per numpy pass: about 100 bytes of scratch per zone pixel and frame.
-FRAMES_PER_PASS = 16
+# Frames per numpy pass: about 150 bytes of scratch per zone pixel and frame.
+FRAMES_PER_PASS = 8
 
 
 class ZoneIndex:
-    """Flat pixel numbers of all non-empty zones, with neighbours and centre weights."""
+    """Zone pixels of a layout as one flat list: where they lie, their neighbours, their weights.
+
+    Neighbours stay inside the zone, so they are positions in the same list.
+    """
 
     def __init__(self, layout: Layout, width: int, height: int):
         self.layout = layout
         rects = zone_table(layout, width, height)
-        self.used = np.array([i for i, (x1, y1, x2, y2) in enumerate(rects) if x2 > x1 and y2 > y1],
-                             dtype=np.int64)
-        flat, starts, centre = [], [], []
-        near: dict[tuple[int, int], list[np.ndarray]] = {
-            (dx, dy): [] for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
-        size = 0
-        for led in self.used:
+        self.used = [i for i, (x1, y1, x2, y2) in enumerate(rects) if x2 > x1 and y2 > y1]
+        parts: dict[str, list[np.ndarray]] = {
+            k: [] for k in ("pixel", "left", "right", "up", "down", "centre", "zone")}
+        self.starts, size = [], 0
+        for zone, led in enumerate(self.used):
             x1, y1, x2, y2 = rects[led]
-            ys, xs = np.mgrid[y1:y2, x1:x2]
-            for (dx, dy), part in near.items():
-                nx = np.clip(xs + dx, x1, x2 - 1)
-                ny = np.clip(ys + dy, y1, y2 - 1)
-                part.append((ny * width + nx).ravel())
             w, h = x2 - x1, y2 - y1
+            y, x = np.mgrid[0:h, 0:w]
+
+            def at(dx: int, dy: int) -> np.ndarray:
+                return size + np.clip(y + dy, 0, h - 1) * w + np.clip(x + dx, 0, w - 1)
+
             sigma = max(min(w, h) / 4.0, 1.0)
-            dist = (xs - x1 - w // 2) ** 2 + (ys - y1 - h // 2) ** 2
-            centre.append(np.exp(-dist / (2.0 * sigma * sigma)).ravel())
-            starts.append(size)
+            dist = (x - w // 2) ** 2 + (y - h // 2) ** 2
+            values = {
+                "pixel": (y + y1) * width + x + x1, "left": at(-1, 0), "right": at(1, 0),
+                "up": at(0, -1), "down": at(0, 1), "centre": np.exp(-dist / (2.0 * sigma * sigma)),
+                "zone": np.full((h, w), zone),
+            }
+            for k, v in values.items():
+                parts[k].append(v.ravel())
+            self.starts.append(size)
             size += w * h
-        self.pixels = size
-        self.starts = np.array(starts, dtype=np.int64)
-        self.near = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in near.items()}
-        self.centre = np.concatenate(centre) if centre else np.zeros(0)
-        self.zone_of = np.repeat(np.arange(len(starts)), np.diff(np.append(self.starts, size)))
+        if not size:
+            return
+        flat = {k: np.concatenate(v) for k, v in parts.items()}
+        self.pixel, self.zone = flat["pixel"], flat["zone"]
+        self.left, self.right, self.up, self.down = (flat[k] for k in ("left", "right", "up", "down"))
+        self.centre = flat["centre"][:, None] * CENTRE_SHARE
 
     def colors(self, rgb: np.ndarray) -> np.ndarray:
-        """(frames, pixels, 3) bytes -> (frames, lights, channels) bytes."""
+        """(frames, bytes) -> (frames, lights, channels). Inside, the frames are the last axis, so
+        that a pixel's values of all frames lie together."""
         frames = rgb.shape[0]
         out = np.zeros((frames, self.layout.total, self.layout.channels), dtype=np.uint8)
-        if not self.pixels:
+        if not self.used:
             return out
-        grey = rgb @ np.array(GREY_WEIGHTS)
-        at = {k: grey[:, idx] for k, idx in self.near.items() if k != (0, 0)}
-        gx = (at[1, -1] - at[-1, -1]) + 2.0 * (at[1, 0] - at[-1, 0]) + (at[1, 1] - at[-1, 1])
-        gy = (at[-1, 1] - at[-1, -1]) + 2.0 * (at[0, 1] - at[0, -1]) + (at[1, 1] - at[1, -1])
+        by_pixel = np.ascontiguousarray(rgb.T).reshape(-1, 3, frames)[self.pixel]
+        channels = [by_pixel[:, c].astype(np.float64) for c in range(3)]
+        kr, kg, kb = GREY_WEIGHTS
+        grey = channels[0] * kr + channels[1] * kg + channels[2] * kb
+        left, right = grey[self.left], grey[self.right]
+        along = right - left
+        across = left + 2.0 * grey + right
+        gx = along[self.up] + 2.0 * along + along[self.down]
+        gy = across[self.down] - across[self.up]
         edge = np.sqrt(gx * gx + gy * gy)
-        strongest = np.maximum.reduceat(edge, self.starts, axis=1)
+        strongest = np.maximum.reduceat(edge, self.starts, axis=0)
         strongest[strongest == 0] = 1.0
-        edge /= strongest[:, self.zone_of]
-        weight = np.maximum(edge * EDGE_SHARE + self.centre * CENTRE_SHARE, MIN_PIXEL_WEIGHT)
-        total = np.add.reduceat(weight, self.starts, axis=1)
-        inner = self.near[0, 0]
+        edge /= strongest[self.zone]
+        weight = np.maximum(edge * EDGE_SHARE + self.centre, MIN_PIXEL_WEIGHT)
+        total = np.add.reduceat(weight, self.starts, axis=0)
         mean = np.stack([
-            np.add.reduceat(weight * rgb[:, inner, c], self.starts, axis=1) / total
-            for c in range(3)
-        ], axis=2)
-        color = np.clip(np.rint(mean), 0, 255).astype(np.uint8)
+            np.add.reduceat(weight * c, self.starts, axis=0) / total for c in channels], axis=2)
+        color = np.clip(np.rint(mean), 0, 255).astype(np.uint8).transpose(1, 0, 2)
         if self.layout.rgbw:
             white = color.min(axis=2, keepdims=True)
             color = np.concatenate([color - white, white], axis=2)
@@ -106,8 +117,7 @@ def frame_zone_colors(
             for at in range(0, batch.num_rows, FRAMES_PER_PASS):
                 part = [np.frombuffer(p.as_buffer(), dtype=np.uint8)
                         for p in pixels.slice(at, FRAMES_PER_PASS)]
-                rgb = np.stack(part).reshape(len(part), width * height, 3)
-                payloads.extend(row.tobytes() for row in index.colors(rgb))
+                payloads.extend(row.tobytes() for row in index.colors(np.stack(part)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("title_id"), batch.column("frame_idx"), batch.column("ts_us"),
                  pa.array(payloads, pa.binary())],

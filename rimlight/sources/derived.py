@@ -5,7 +5,7 @@ The rules are those of FIXTURES.md; the SQL twins in ``checks`` state them a sec
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rimlight.functions.packed import pack_bytes
 from rimlight.model import FRAME_HEIGHT, FRAME_WIDTH, MAPPING_SCHEMA, Layout
 from rimlight.operators.timeline import frame_index
+from rimlight.session import fresh_folder
 
 # 64 embedding values are 16 RGBW lights
 STRIP = Layout(top=5, bottom=5, left=3, right=3, rgbw=True)
@@ -43,20 +44,37 @@ def _bytes_of_vector() -> Column:
         F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 220 + 128))).cast("int"))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """The rows as a table in the shared folder, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = fresh_folder(spark, name)
+        rows().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def led_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(title_id, frame_idx, ts_us, payload)``: one packed frame per embedding."""
-    return _numbered_vectors(spark, sf_dir).select(
-        "title_id", "frame_idx", "ts_us", pack_bytes(_bytes_of_vector()).alias("payload"))
+    return _stored(spark, sf_dir, "led-frames", lambda: _numbered_vectors(spark, sf_dir).select(
+        "title_id", "frame_idx", "ts_us", pack_bytes(_bytes_of_vector()).alias("payload")))
 
 
 def led_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long twin of ``led_frames``: one row per light."""
-    values = _numbered_vectors(spark, sf_dir).withColumn("v", _bytes_of_vector())
-    lights = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(
-        i.alias("led_idx"),
-        *[F.get(F.col("v"), i * 4 + n).alias(c) for n, c in enumerate("rgbw")]))
-    return values.select("title_id", "frame_idx", "ts_us", F.explode(lights).alias("l")).select(
-        "title_id", "frame_idx", "ts_us", "l.*")
+
+    def rows() -> DataFrame:
+        lights = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(
+            i.alias("led_idx"),
+            *[F.get(F.col("v"), i * 4 + n).alias(c) for n, c in enumerate("rgbw")]))
+        values = _numbered_vectors(spark, sf_dir).withColumn("v", _bytes_of_vector())
+        return values.select("title_id", "frame_idx", "ts_us", F.explode(lights).alias("l")).select(
+            "title_id", "frame_idx", "ts_us", "l.*")
+
+    return _stored(spark, sf_dir, "led-samples", rows)
 
 
 def led_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +123,10 @@ def frames(spark: SparkSession, sf_dir: str, width: int = FRAME_WIDTH, height: i
                      pa.array(images, pa.binary())],
                     names=["title_id", "frame_idx", "ts_us", "pixels"])
 
-    return _numbered_vectors(spark, sf_dir).select("title_id", "frame_idx", "ts_us", "vec_id").mapInArrow(
+    # few bytes per row come in, so the number of painting tasks has to be set
+    seeds = _numbered_vectors(spark, sf_dir).select("title_id", "frame_idx", "ts_us", "vec_id").repartition(
+        spark.sparkContext.defaultParallelism, "title_id", "frame_idx")
+    return seeds.mapInArrow(
         paint, "title_id int, frame_idx bigint, ts_us bigint, pixels binary")
 
 

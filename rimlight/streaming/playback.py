@@ -23,35 +23,36 @@ def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
     Events before the last one seen are late: they change nothing and are reported as such.
     """
-    events = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
+    parts = list(batches)
+    events = parts[0] if len(parts) == 1 else pd.concat(parts)
+    columns = ("ts_us", "event_id", "kind", "title_id", "position_s", "is_paused")
     last_ts, last_id, title, is_open, paused, has_pos, pos = (
         state.get if state.exists else (-(2 ** 62), -1, 0, False, False, False, 0.0))
     out = []
-    for e in events.itertuples(index=False):
-        def emit(change: str, before: float | None = None) -> None:
-            out.append((key[0], e.event_id, e.ts_us, change, title, e.position_s, before))
-
-        if (e.ts_us, e.event_id) < (last_ts, last_id):
-            emit("late")
+    for ts, event_id, kind, new_title, new_pos, pausing in sorted(zip(*[events[c].tolist() for c in columns])):
+        found: list[tuple[str, float | None]] = []
+        if (ts, event_id) < (last_ts, last_id):
+            out.append((key[0], event_id, ts, "late", title, new_pos, None))
             continue
-        last_ts, last_id = e.ts_us, e.event_id
-        if e.kind == "start":
+        last_ts, last_id = ts, event_id
+        if kind == "start":
             if is_open:
-                emit("close")
-            title, is_open, paused = e.title_id, True, False
-            emit("open")
-        elif e.kind == "stop":
+                out.append((key[0], event_id, ts, "close", title, new_pos, None))
+            title, is_open, paused = new_title, True, False
+            found.append(("open", None))
+        elif kind == "stop":
             if is_open:
-                emit("close")
+                found.append(("close", None))
             is_open, paused, has_pos = False, False, False
         elif is_open:
-            if e.is_paused != paused:
-                emit("pause" if e.is_paused else "resume")
-            if has_pos and abs(e.position_s - pos) > SEEK_JUMP_S:
-                emit("seek", pos)
-            paused, has_pos, pos = bool(e.is_paused), True, e.position_s
+            if pausing != paused:
+                found.append(("pause" if pausing else "resume", None))
+            if has_pos and abs(new_pos - pos) > SEEK_JUMP_S:
+                found.append(("seek", pos))
+            paused, has_pos, pos = pausing, True, new_pos
+        out.extend((key[0], event_id, ts, change, title, new_pos, before) for change, before in found)
     if is_open:
-        state.update((int(last_ts), int(last_id), int(title), True, bool(paused), has_pos, float(pos)))
+        state.update((last_ts, last_id, title, True, paused, has_pos, pos))
     elif state.exists:
         state.remove()
     if out:

@@ -10,6 +10,7 @@ from rimlight.functions import ids
 from rimlight.operators import backlog as B
 from rimlight.operators.timeline import title_summary
 from rimlight.operators.tree import library_of_item
+from rimlight.plans import extraction
 from rimlight.session import fresh_folder
 from rimlight.sources import binaries as bins
 from rimlight.sources import catalog as cat
@@ -111,6 +112,12 @@ def parse_date(spark, sf):
         "item_id", ids.parse_date(F.col("date_created")).cast("timestamp_ntz").alias("created"))
 
 
+@check("select event_id, concat(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '0Z') as text from events")
+def round_trip_date(spark, sf):
+    return D.table(spark, sf, "events").select(
+        "event_id", ids.round_trip_date(F.col("ts").cast("timestamp")).alias("text"))
+
+
 # ---- libraries, backlog ---------------------------------------------------------------------
 
 @check(f"with {CATALOG} select item_id, library_id from catalog where library_id <> md5('es')")
@@ -289,6 +296,24 @@ def frames_scan(spark, sf):
         "title_id", "frame_idx", F.length("pixels").alias("bytes"))
 
 
+@check(f"""with {CATALOG}, o as (select item_id, doc_id, doc_id % 4 as way, extraction_attempts from items)
+       select item_id, case when way = 0 then 'pending' when way = 1 then 'failed' else 'completed' end as extraction_status,
+              case when way = 1 then 'no frames written' end as extraction_error, extraction_attempts + 1 as extraction_attempts,
+              case when way < 2 then 0 else doc_id end as frames_current,
+              case when way = 0 then 0 else 2000 end as frames_total,
+              case when way < 2 then 0 else least(99, doc_id * 100 // 2000) end as extraction_progress
+       from o where not (way >= 2 and doc_id = 0)""")
+def finish_items(spark, sf):
+    """Outcome of an extraction run: some cancelled, some without frames, the rest done."""
+    way = F.col("doc_id") % 4
+    outcome = D.table(spark, sf, "labels").select(
+        F.md5(F.col("doc_id").cast("string")).alias("item_id"), F.when(way != 1, F.col("doc_id")).alias("frames"),
+        F.lit(2000).alias("frames_total"), (way == 0).alias("cancelled"), F.lit(None).cast("string").alias("error"))
+    return extraction.finish_items(D.metadata_items(spark, sf), outcome, _now()).select(
+        "item_id", "extraction_status", "extraction_error", "extraction_attempts", "frames_current", "frames_total",
+        "extraction_progress")
+
+
 # ---- status ---------------------------------------------------------------------------------
 
 _REQUESTS = _SPELLED + """,

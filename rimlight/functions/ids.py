@@ -37,6 +37,11 @@ def parse_date(value: Column) -> Column:
     return value.try_cast("timestamp")
 
 
+def round_trip_date(value: Column) -> Column:
+    """Date text with seven decimals and the UTC mark, as catalog entries carry it."""
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'")
+
+
 def strip_device_ts(value: Column) -> Column:
     """Drop the ``|timestamp`` suffix from a base64 device id; other ids pass unchanged.
 

@@ -77,17 +77,26 @@ def with_carry(
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def within(name: str) -> Column:
+        value = F.col(f"_v_{name}")
+        if name in previous:
+            return F.lag(value).over(inside)
+        if name in last_before:
+            return F.last(value, ignorenulls=True).over(before)
+        return F.sum(value).over(upto)
+
     def result_of(name: str) -> Column:
-        value, carry = F.col(f"_v_{name}"), F.col(f"_c_{name}")
+        value, carry = F.col(f"_w_{name}"), F.col(f"_c_{name}")
         if name in previous:
-            return F.when(F.row_number().over(inside) == 1, carry).otherwise(F.lag(value).over(inside))
+            return F.when(F.col("_no") == 1, carry).otherwise(value)
         if name in last_before:
-            return F.coalesce(F.last(value, ignorenulls=True).over(before), carry)
-        zero = F.lit(0).cast(df.schema[f"_v_{name}"].dataType)
-        return F.coalesce(carry, zero) + F.sum(value).over(upto)
+            return F.coalesce(value, carry)
+        return F.coalesce(carry, F.lit(0).cast(df.schema[f"_v_{name}"].dataType)) + value
 
-    out = df.join(carries, [*keys, CHUNK], "left").withColumns({n: result_of(n) for n in inputs})
-    return out.drop(*[f"_{part}_{n}" for n in inputs for part in "vc"])
+    # windows come first: their sort also serves the join that follows
+    windowed = df.withColumns({"_no": F.row_number().over(inside), **{f"_w_{n}": within(n) for n in inputs}})
+    out = windowed.join(carries, [*keys, CHUNK], "left").withColumns({n: result_of(n) for n in inputs})
+    return out.drop("_no", *[f"_{part}_{n}" for n in inputs for part in "vwc"])
 
 
 def with_row_index(

@@ -166,7 +166,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def excluded_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library of Spanish documents, in upper-case dashed spelling."""
-    h = F.upper(F.md5(F.lit("es")))
+    h = F.upper(F.md5(F.col("lang")))
     dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                          F.substring(h, 17, 4), F.substring(h, 21, 12))
     return table(spark, sf_dir, "documents").where(F.col("lang") == "es").select(

@@ -56,4 +56,6 @@ def strip_device_ts(value: Column) -> Column:
         & (F.length(text) - F.length(tail) > 1)
         & (F.length(tail) + 1 <= 20)
     )
-    return F.when(F.coalesce(strip, F.lit(False)), F.base64(F.encode(head, "utf-8"))).otherwise(value)
+    # long values may come out of base64() in lines
+    again = F.replace(F.base64(F.encode(head, "utf-8")), F.lit("\r\n"), F.lit(""))
+    return F.when(F.coalesce(strip, F.lit(False)), again).otherwise(value)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def binary_listing(spark: SparkSession, folder: str, suffix: str = ".bin") -> DataFrame:
-    """``(item_id, path, length)`` of every binary; the content column is never read."""
+    """``(item_id, path, length)`` of every binary; the content column is never read.
+
+    Files of length 0 are not listed: they hold no light data, so their items stay pending.
+    """
     name = F.substring_index("path", "/", -1)
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)

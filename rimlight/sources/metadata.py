@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from rimlight.functions import media
 from rimlight.model import METADATA_KEYS, METADATA_SCHEMA
-from rimlight.sources.files import open_folder
+from rimlight.sources.files import empty_files, open_folder
 
 # Values of keys that a document leaves out.
 _DEFAULTS = {
@@ -67,9 +67,11 @@ def metadata_errors(
     """Documents that ``metadata_scan`` leaves out, with the reason."""
     blank = F.regexp_replace("value", r"\s", "") == ""
     reason = F.when(blank, "blank").otherwise("malformed")
-    return _parsed(spark, folder, suffix, date_key).where(
+    unread = _parsed(spark, folder, suffix, date_key).where(
         blank | F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
     ).select("item_id", reason.alias("reason"))
+    empty = empty_files(spark, folder, suffix).select("item_id", F.lit("blank").alias("reason"))
+    return unread.unionByName(empty)
 
 
 def metadata_upsert(stored: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

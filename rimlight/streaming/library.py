@@ -12,7 +12,11 @@ from rimlight.sources.catalog import auto_extract_gate, default_name, item_type_
 def stream_new_items(
     events: DataFrame, excluded: DataFrame, binaries: DataFrame, enabled: bool = True,
 ) -> DataFrame:
-    """Added items that have to be extracted."""
+    """Added items that have to be extracted.
+
+    The static sides are listed once, when the query is built. To see binaries written meanwhile,
+    call this inside ``foreachBatch`` with tables that are read anew.
+    """
     added = auto_extract_gate(events.where("event = 'added'"), enabled)
     items = exclude_libraries(path_filter(item_type_filter(added)), excluded)
     return items.join(binaries.select("item_id"), "item_id", "left_anti").select(

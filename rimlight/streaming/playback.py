@@ -64,8 +64,7 @@ def stream_changes(events: DataFrame) -> DataFrame:
     """Opens, closes, seeks, pauses, resumes and late events of all sessions.
 
     The state of a session is one small row and goes when the session closes. A session's events
-    within a micro-batch are sorted in one task, so the source should limit the size of
-    micro-batches (``maxFilesPerTrigger``, ``maxBytesPerTrigger``).
+    within a micro-batch are sorted in one task; ``read_events`` limits micro-batches for that.
     """
     narrow = events.select(
         "session_id", "event_id", F.unix_micros("ts").alias("ts_us"), "title_id", "kind",

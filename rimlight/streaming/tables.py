@@ -31,9 +31,13 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
     return spark.read.parquet(out)
 
 
-def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of Parquet files, oldest first. Events of one session should arrive in time order."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+def read_events(
+    spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, bytes_per_batch: str = "256m",
+) -> DataFrame:
+    """Stream of Parquet files, oldest first, in micro-batches of limited size.
+
+    Events of one session should arrive in time order. The limit also bounds what a single hot
+    session can bring into one task.
+    """
+    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", bytes_per_batch)
+    return spark.readStream.schema(schema).option(*limit).parquet(folder)

@@ -9,7 +9,7 @@ from rimlight.operators import backlog as B
 from rimlight.operators.tree import library_of_item
 from rimlight.operators.zone_kernel import frame_zone_colors
 from rimlight.model import Layout
-from rimlight.sources import binaries, catalog
+from rimlight.sources import binaries, catalog, tables
 from rimlight.sources import derived as D
 
 
@@ -79,3 +79,21 @@ def test_kernel_needs_no_shuffle(spark, tmp_path):
     spark.range(3).select(F.lit(1).alias("title_id"), F.col("id").alias("frame_idx"), F.col("id").alias("ts_us"),
                           F.lit(bytearray(172_800)).alias("pixels")).write.parquet(str(tmp_path / "f"))
     assert "Exchange" not in plan(frame_zone_colors(spark.read.parquet(str(tmp_path / "f")), Layout()))
+
+
+def test_frame_table_spreads_a_hot_title_and_skips_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frames = spark.range(8000).select(
+        F.when(F.col("id") < 6000, 1).otherwise(2).alias("title_id"), F.col("id").alias("frame_idx"),
+        (F.col("id") * 40_000).alias("ts_us"), F.lit(bytearray(48)).alias("payload"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_light_frames(frames, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    table = tables.read_light_frames(spark, path)
+    assert table.where("title_id = 1").select(F.input_file_name()).distinct().count() > 3
+    part = tables.read_light_frames(spark, path, titles=[1], from_us=40_000_000, to_us=80_000_000)
+    assert part.count() == 1000
+    assert re.search(r"PushedFilters: \[.*EqualTo\(title_id,1\)|In\(title_id", plan(part))
+    assert "GreaterThanOrEqual(ts_us,40000000)" in plan(part)

@@ -32,7 +32,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
 
 
 def read_events(
-    spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, bytes_per_batch: str = "256m",
+    spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, bytes_per_batch: int = 256 << 20,
 ) -> DataFrame:
     """Stream of Parquet files, oldest first, in micro-batches of limited size.
 

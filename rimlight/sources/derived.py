@@ -110,14 +110,14 @@ def frames(spark: SparkSession, sf_dir: str, width: int = FRAME_WIDTH, height: i
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, x = np.mgrid[0:height, 0:width]
-        base = np.stack([x * 7 + y * 13, x * x + y * 5, x * 3 + y * y], axis=2)
+        # bytes wrap around at 256 by themselves
+        base = np.stack([x * 7 + y * 13, x * x + y * 5, x * 3 + y * y], axis=2).astype(np.uint8)
         step = np.array([31, 17, 53])
         for batch in batches:
             vec_ids = batch.column("vec_id").to_pylist()
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                images = [((base + v * step) % 256).astype(np.uint8).tobytes()
-                          for v in vec_ids[at:at + 64]]
+                images = [(base + (v * step).astype(np.uint8)).tobytes() for v in vec_ids[at:at + 64]]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("title_id"), part.column("frame_idx"), part.column("ts_us"),
                      pa.array(images, pa.binary())],

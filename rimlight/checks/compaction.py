@@ -22,7 +22,7 @@ def scene_cuts(spark, sf):
 
 
 @check(f"""with {_DELTAS}, m as (select *, case when delta <= 1.0::double - 0.85::double then 0 else 1 end as fresh from d),
-       n as (select *, sum(fresh) over (partition by title_id order by frame_idx) as run_no from m)
+       n as (select *, cast(sum(fresh) over (partition by title_id order by frame_idx) as bigint) as run_no from m)
        select title_id, run_no, min(frame_idx) as first_frame, count(*) as frames, min(ts_us) as first_ts_us, max(ts_us) as last_ts_us
        from n group by title_id, run_no""", name="frame_runs_similar")
 def _similar(spark, sf):
@@ -31,7 +31,7 @@ def _similar(spark, sf):
 
 @check(f"""with {FRAMES}, k as (select *, coalesce(md5(cast(vec_id // 3 as varchar)) = lag(md5(cast(vec_id // 3 as varchar))) over (
          partition by title_id order by frame_idx), false) as same from vt),
-       n as (select *, sum(case when same then 0 else 1 end) over (partition by title_id order by frame_idx) as run_no from k)
+       n as (select *, cast(sum(case when same then 0 else 1 end) over (partition by title_id order by frame_idx) as bigint) as run_no from k)
        select title_id, run_no, min(frame_idx) as first_frame, count(*) as frames, min(ts_us) as first_ts_us, max(ts_us) as last_ts_us,
               md5(cast(min(vec_id) // 3 as varchar)) as payload from n group by title_id, run_no""")
 def frame_runs(spark, sf):

@@ -86,8 +86,8 @@ def seek_events(spark, sf):
     return P.seek_events(D.playback_events(spark, sf), _DAY_US, _HOT).drop("ts")
 
 
-@check(f"""with {EVENTS}, f as (select *, sum(case when is_paused <> prev_paused then 1 else 0 end) over (
-         partition by session_id order by ts, event_id) as flips from p)
+@check(f"""with {EVENTS}, f as (select *, cast(sum(case when is_paused <> prev_paused then 1 else 0 end) over (
+         partition by session_id order by ts, event_id) as bigint) as flips from p)
        select session_id, play_no, flips, is_paused, count(*) as events, min(ts) as first_ts, max(ts) as last_ts from f
        group by session_id, play_no, flips, is_paused""")
 def pause_islands(spark, sf):
@@ -173,6 +173,6 @@ def _display_frames(spark, sf):
 
 
 @check(f"""with recursive {_PLAYERS} select title_id, count(distinct (session_id, host, port)) as players,
-       count(*) as frames_sent, sum(length(payload_hex) // 2) as bytes_sent from shown group by title_id""", name="display_summary")
+       count(*) as frames_sent, cast(sum(length(payload_hex) // 2) as bigint) as bytes_sent from shown group by title_id""", name="display_summary")
 def _display_summary(spark, sf):
     return display.display_summary(_displayed(spark, sf))

@@ -174,8 +174,8 @@ e as (select event_id, ts, user_id as session_id, cast(user_id % 10 as int) as t
              value as position_s, event_type = 'error' as is_paused from events),
 c as (select *, last_value(case when kind in ('start', 'stop') then kind end ignore nulls) over (
                   partition by session_id order by ts, event_id rows between unbounded preceding and 1 preceding) as ctl,
-             sum(case when kind = 'start' then 1 else 0 end) over w as play_no,
-             sum(case when kind = 'stop' then 1 else 0 end) over w as stops,
+             cast(sum(case when kind = 'start' then 1 else 0 end) over w as bigint) as play_no,
+             cast(sum(case when kind = 'stop' then 1 else 0 end) over w as bigint) as stops,
              lead(ts) over w as next_ts
       from e window w as (partition by session_id order by ts, event_id)),
 p as (select *, lag(position_s) over (partition by session_id, stops order by ts, event_id) as prev_position_s,

@@ -32,7 +32,7 @@ def _zoned(spark, sf):
 
 
 @check(f"""with {zone_pixels(D.SMALL_WIDTH, D.SMALL_HEIGHT)} select title_id, frame_idx, led_idx, count(*) as pixels,
-       sum((x + 100 * y) * (r + 3 * g + 7 * b)) as content from zp group by all""")
+       cast(sum((x + 100 * y) * (r + 3 * g + 7 * b)) as bigint) as content from zp group by all""")
 def pixels_in_zones(spark, sf):
     return _zoned(spark, sf).groupBy(*Z.ZONE).agg(
         F.count(F.lit(1)).alias("pixels"),

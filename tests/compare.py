@@ -47,3 +47,13 @@ def difference(df, con, sql: str) -> str | None:
     if bad:
         return f"{len(bad)} of {len(a)} rows differ, e.g.\n  spark {bad[0][0]}\n  sql   {bad[0][1]}"
     return None
+
+
+_SPARK = {"int": "whole", "bigint": "whole", "string": "text", "double": "real", "boolean": "flag", "timestamp_ntz": "time"}
+_DUCK = {"INTEGER": "whole", "BIGINT": "whole", "VARCHAR": "text", "DOUBLE": "real", "BOOLEAN": "flag", "TIMESTAMP": "time"}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose kinds of value differ between the two results."""
+    duck = {r[0]: r[1] for r in con.execute(f"describe {sql}").fetchall()}
+    return [f"{c}: {t} / {duck.get(c)}" for c, t in df.dtypes if _SPARK.get(t, t) != _DUCK.get(duck.get(c))]

@@ -1,7 +1,7 @@
 """Every registered query against its SQL twin."""
 
 import pytest
-from compare import difference
+from compare import difference, type_differences
 
 import __spark_entry__ as entry
 
@@ -12,6 +12,7 @@ QUERIES, TWINS = entry.queries(), entry.oracle_sql()
 def test_query(name, spark, sf_dir, duck):
     df = QUERIES[name](spark, sf_dir)
     if name in TWINS:
+        assert type_differences(df, duck, TWINS[name]) == []
         assert difference(df, duck, TWINS[name]) is None
     else:
         assert df.count() > 0

@@ -45,20 +45,22 @@ def frame_dt(frames: DataFrame, rates: DataFrame) -> DataFrame:
     return _gaps(frames, rates).drop(ordered.CHUNK)
 
 
-def frame_clock(frames: DataFrame, rates: DataFrame) -> DataFrame:
+def frame_clock(frames: DataFrame, rates: DataFrame, keep_chunk: bool = False) -> DataFrame:
     """Add ``dt_s`` and ``clock_s``, the running sum of the gaps of a title.
 
-    Both passes window the same (title, chunk) groups, so the rows are exchanged once.
+    Both passes window the same (title, chunk) groups, so the rows are exchanged once. With
+    ``keep_chunk`` a join on (title, chunk) can follow without another exchange.
     """
-    return ordered.with_carry(_gaps(frames, rates), ["title_id"], ["frame_idx"], sums={
-        "clock_s": F.col("dt_s")}).drop(ordered.CHUNK)
+    clock = ordered.with_carry(
+        _gaps(frames, rates), ["title_id"], ["frame_idx"], sums={"clock_s": F.col("dt_s")})
+    return clock if keep_chunk else clock.drop(ordered.CHUNK)
 
 
 def _gaps(frames: DataFrame, rates: DataFrame) -> DataFrame:
-    rated = frames.join(rates.select("title_id", F.col("fps").alias("_fps")), "title_id")
     timed = ordered.with_carry(
-        rated.withColumn(ordered.CHUNK, ordered.frame_chunk()),
-        ["title_id"], ["frame_idx"], previous={"_prev_ts": F.col("ts_us")})
+        frames.withColumn(ordered.CHUNK, ordered.frame_chunk()),
+        ["title_id"], ["frame_idx"], previous={"_prev_ts": F.col("ts_us")},
+        per_key=rates.select("title_id", F.col("fps").alias("_fps")))
     gap = (F.col("ts_us").cast("double") - F.col("_prev_ts").cast("double")) / F.lit(1e6)
     return timed.withColumn(
         "dt_s", F.when(gap > 0, gap).otherwise(F.lit(1.0) / F.col("_fps"))).drop("_prev_ts", "_fps")

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin."""
 
+import re
+
 import pytest
 from compare import difference, type_differences
 
@@ -25,3 +27,17 @@ def test_entry(spark):
 def test_twins_belong_to_queries():
     assert set(TWINS) <= set(QUERIES)
     assert set(QUERIES) - set(TWINS) == {"chunk_checksum_crc"}
+
+
+def test_display_plan_exchanges_payloads_twice(spark, sf_dir):
+    df = QUERIES["display_frames"](spark, sf_dir)
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    moved = [b for b in text.split("\n\n") if re.match(r"\(\d+\) Exchange", b.strip()) and "payload#" in b]
+    assert len(moved) == 2
+
+
+@pytest.mark.parametrize("name", ["pending_items", "route_sessions", "seek_frame", "display_frames", "zone_colors", "batch_status"])
+def test_no_cross_joins(name, spark, sf_dir):
+    df = QUERIES[name](spark, sf_dir)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -59,8 +59,8 @@ def with_carry(
     """Add columns that depend on earlier rows of the same key; ``df`` has a ``chunk`` column.
 
     ``previous``: value of the row before. ``last_before``: last non-null value strictly before
-    the row. ``sums``: running sum, the row included. ``per_key``: one row per key, whose other
-    columns ride along with the carries; rows of other keys are dropped. That spares the rows an
+    the row. ``sums``: running sum, the row included. ``per_key``: at most one row per key, whose
+    other columns ride along with the carries (null for unknown keys). That spares the rows an
     exchange by the key alone.
     """
     previous, last_before, sums = previous or {}, last_before or {}, sums or {}
@@ -90,9 +90,8 @@ def with_carry(
     summary = df.groupBy(*keys, CHUNK).agg(*[summary_of(n).alias(f"_s_{n}") for n in inputs])
     carries = summary.select(*keys, CHUNK, *[carry_of(n).alias(f"_c_{n}") for n in inputs])
 
-    how = "left"
     if per_key is not None:
-        carries, how = carries.join(per_key, list(keys)), "inner"
+        carries = carries.join(per_key, list(keys), "left")
 
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +115,7 @@ def with_carry(
 
     # windows come first: their sort also serves the join that follows
     windowed = df.withColumns({"_no": F.row_number().over(inside), **{f"_w_{n}": within(n) for n in inputs}})
-    out = windowed.join(carries, [*keys, CHUNK], how).withColumns({n: result_of(n) for n in inputs})
+    out = windowed.join(carries, [*keys, CHUNK], "left").withColumns({n: result_of(n) for n in inputs})
     return out.drop("_no", *[f"_{part}_{n}" for n in inputs for part in "vwc"])
 
 

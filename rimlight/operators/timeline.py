@@ -41,7 +41,10 @@ def infer_fps(titles: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def frame_dt(frames: DataFrame, rates: DataFrame) -> DataFrame:
-    """Add ``dt_s``: seconds since the previous frame, or one frame period if that is not positive."""
+    """Add ``dt_s``: seconds since the previous frame, or one frame period if that is not positive.
+
+    Titles without a rate count as 24 frames per second.
+    """
     return _gaps(frames, rates).drop(ordered.CHUNK)
 
 
@@ -62,8 +65,8 @@ def _gaps(frames: DataFrame, rates: DataFrame) -> DataFrame:
         ["title_id"], ["frame_idx"], previous={"_prev_ts": F.col("ts_us")},
         per_key=rates.select("title_id", F.col("fps").alias("_fps")))
     gap = (F.col("ts_us").cast("double") - F.col("_prev_ts").cast("double")) / F.lit(1e6)
-    return timed.withColumn(
-        "dt_s", F.when(gap > 0, gap).otherwise(F.lit(1.0) / F.col("_fps"))).drop("_prev_ts", "_fps")
+    period = F.lit(1.0) / F.coalesce("_fps", F.lit(FALLBACK_FPS))
+    return timed.withColumn("dt_s", F.when(gap > 0, gap).otherwise(period)).drop("_prev_ts", "_fps")
 
 
 def frame_luminance(samples: DataFrame) -> DataFrame:

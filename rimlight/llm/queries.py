@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import line_dedup, mixing
+from rimlight.llm import decontam, line_dedup, mixing, token_store
 from rimlight.llm.common import read_table, ready
+from rimlight.session import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +58,20 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(read_table(spark, sf_dir, "documents"))
     rows = taken.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_folder(spark, "tokens")
+    token_store.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.with_crc32(token_store.read_tokens(spark, path))
+
+
+@query()
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.sort_array("leaks.item_id").alias("item_ids"),
+                        F.coalesce(F.array_max("leaks.coverage"), F.lit(0.0)).alias("coverage"))

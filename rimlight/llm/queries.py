@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import decontam, line_dedup, mixing, token_store
+from rimlight.llm import decontam, jaccard_join, line_dedup, mixing, token_store
 from rimlight.llm.common import read_table, ready
 from rimlight.session import fresh_folder
 
@@ -75,3 +75,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), F.sort_array("leaks.item_id").alias("item_ids"),
                         F.coalesce(F.array_max("leaks.coverage"), F.lit(0.0)).alias("coverage"))
+
+
+@query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(read_table(spark, sf_dir, "documents"))

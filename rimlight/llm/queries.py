@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import decontam, jaccard_join, line_dedup, mixing, token_store
-from rimlight.llm.common import read_table, ready
+from rimlight.llm import decontam, jaccard_join, langid, line_dedup, mixing, token_store
+from rimlight.llm.common import held_out, read_table, ready
 from rimlight.session import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import decontam, jaccard_join, langid, line_dedup, mixing, token_store
+from rimlight.llm import decontam, jaccard_join, langid, line_dedup, mixing, quality, token_store, toxicity
 from rimlight.llm.common import held_out, read_table, ready
 from rimlight.session import fresh_folder
 
@@ -87,3 +87,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), 0.5)
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), 0.3)

@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased words and five-letter beginnings of longer ones. The vocabulary holds the terms whose
+Terms are lower-cased words and the first four and five letters of longer ones. The vocabulary holds the terms whose
 occurrence depends on the label (G-test on the labelled sample above ``MIN_G``). Document frequencies are
 counted over all documents. Examples are the labelled sample's documents that hold a term, kept in a
 block-max inverted index (``blockmax``); each text finds its ``NEIGHBOURS`` nearest examples exactly. Their
@@ -30,7 +30,7 @@ from rimlight.llm.blockmax import BlockMaxIndex
 from rimlight.llm.common import stored
 
 WORDS = re.compile(r"[^\W\d_]+")
-PREFIX = 5
+BEGINNINGS = (4, 5)
 PER_LABEL = 6_000
 EXAMPLES = 2_000
 MIN_G = 24.0
@@ -43,8 +43,9 @@ def term_counts(text: str | None) -> Counter:
     words = WORDS.findall(text.lower()) if text else []
     found = Counter(words)
     for w, n in list(found.items()):
-        if len(w) > PREFIX:
-            found[w[:PREFIX] + "-"] += n
+        for k in BEGINNINGS:
+            if len(w) > k:
+                found[w[:k] + "-"] += n
     return found
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimlight.llm import decontam, jaccard_join, langid, line_dedup, mixing, quality, token_store, toxicity
+from rimlight.llm import decontam, hilbert_ann, jaccard_join, langid, line_dedup, mixing, pii, quality, token_store, toxicity
 from rimlight.llm.common import held_out, read_table, ready
 from rimlight.session import fresh_folder
 
@@ -101,3 +101,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), 0.3)
+
+
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+@query()
+def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)

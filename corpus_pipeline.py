@@ -1,15 +1,97 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Language ID drops documents without a known language; the Jaccard join keeps the smallest id of each group
+of near copies; decontamination drops documents that cover a benchmark item; mixing repeats and drops
+documents until sources have their target sizes; the last stage writes token ids and returns their index.
+
+Every stage passes on all columns and rows that it does not decide against, in any column types; stages read
+``doc_id``, ``text``, ``lang`` and ``source`` and give null, empty and repeated rows the results that the
+operators define. Rows without an id have no near copies. Of rows that share an id one stays in the near-copy
+stage: the one whose text has the smallest hash.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rimlight.llm import decontam, jaccard_join, langid, mixing, token_store
+from rimlight.llm.common import broadcast_if_small, ready, stored
+from rimlight.session import fresh_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
 ORACLE_SQL = None
 
 
+def _new(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words are mostly of one learned language."""
+    ready(spark)
+    return langid.keep_known(docs, langid.fit(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies."""
+    ready(spark)
+    groups = stored(jaccard_join.similar_groups(docs), "groups")
+    gone = stored(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    again = stored(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    n = _new(docs, "n")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    once = kept.join(again, "doc_id", "left_semi").withColumn(n, first).where(F.col(n) == 1).select(docs.columns)
+    return kept.join(broadcast_if_small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    ready(spark)
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ready(spark)
+    h, copies, copy = (_new(docs, n) for n in ("h", "copies", "copy"))
+    taken = mixing.mix(docs).where(F.col("copies") > 0).select(
+        F.col("doc_id").alias("t_doc"), F.col("source").alias("t_source"), F.col("h").alias("t_h"), F.col("copies").alias(copies))
+    keyed = docs.withColumn(h, mixing.unit_hash())
+    same = F.col("doc_id").eqNullSafe(taken["t_doc"]) & F.col("source").eqNullSafe(taken["t_source"]) & (F.col(h) == taken["t_h"])
+    return keyed.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store's index: place, length and checksum of every document's ids."""
+    ready(spark)
+    path = fresh_folder(spark, "tokens")
+    token_store.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.with_crc32(token_store.read_tokens(spark, path))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_copies", near_copies),
+    ("decontaminated", decontaminated),
+    ("mixed", mixed),
+    ("token_ids", token_ids),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``."""
+    ready(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

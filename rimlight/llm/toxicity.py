@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased words and the first four and five letters of longer ones. The vocabulary holds the terms whose
+Terms are lower-cased words, the first four to six letters of longer ones, and marks for beginnings that
+two or three different words of a text share (insults come in families). The vocabulary holds the terms whose
 occurrence depends on the label (G-test on the labelled sample above ``MIN_G``). Document frequencies are
 counted over all documents. Examples are the labelled sample's documents that hold a term, kept in a
 block-max inverted index (``blockmax``); each text finds its ``NEIGHBOURS`` nearest examples exactly. Their
@@ -30,22 +31,30 @@ from rimlight.llm.blockmax import BlockMaxIndex
 from rimlight.llm.common import stored
 
 WORDS = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6)
+FAMILY = (2, 3)
 PER_LABEL = 6_000
 EXAMPLES = 2_000
-MIN_G = 24.0
+MIN_G = 60.0
 NEIGHBOURS = 25
 #: Different terms counted in one go before they are handed on.
 HELD_TERMS = 200_000
 
 
-def term_counts(text: str | None) -> Counter:
-    words = WORDS.findall(text.lower()) if text else []
-    found = Counter(words)
-    for w, n in list(found.items()):
+def term_counts(text: str | None, wanted: set[str] | None = None) -> Counter:
+    """Terms of a text and how often they occur; with ``wanted``, only beginnings in that set are looked at."""
+    found = Counter(WORDS.findall(text.lower()) if text else ())
+    starts, words = Counter(), Counter()
+    for w, n in found.items():
         for k in BEGINNINGS:
-            if len(w) > k:
-                found[w[:k] + "-"] += n
+            if len(w) > k and (wanted is None or w[:k] in wanted):
+                starts[w[:k] + "-"] += n
+                words[w[:k] + "-"] += 1
+    found.update(starts)
+    for start, n in words.items():
+        for least in FAMILY:
+            if n >= least:
+                found[f"{start}{least}"] = 1
     return found
 
 
@@ -89,8 +98,9 @@ def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = number.value
+        wanted = {t.split("-")[0] for t in index if "-" in t}
         for batch in batches:
-            rows = [sorted((index[t], n) for t, n in term_counts(text).items() if t in index) for text in batch.column("text").to_pylist()]
+            rows = [sorted((index[t], n) for t, n in term_counts(text, wanted).items() if t in index) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int32())),
                                               pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
 

@@ -121,6 +121,8 @@ def _bounds(index: DataFrame, turned: np.ndarray, width: int) -> tuple[np.ndarra
 
     found = index.select("point").mapInArrow(extremes, "i long, lo double, hi double").groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("i").collect()
     shape = (turned.shape[0], turned.shape[2])
+    if not found:
+        return np.zeros(shape), np.zeros(shape)
     return np.array([r["lo"] for r in found]).reshape(shape), np.array([r["hi"] for r in found]).reshape(shape)
 
 

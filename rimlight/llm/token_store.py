@@ -48,9 +48,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, te
     """Encode every text with the tokenizer file, append ``end_id``, and write the store to ``path``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rimlight.llm.tokenize import PieceEncoder
+        from rimlight.llm.tokenize import encoder_of
 
-        encoder, shard, before = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)

@@ -33,7 +33,9 @@ def _write(rows) -> None:
 @check(f"with {CATALOG} select item_id, library_id, name, item_type, path, date_created from catalog "
        "where item_type in ('Movie', 'Episode')")
 def catalog_scan(spark, sf):
-    return cat.catalog_scan(D.catalog(spark, sf))
+    path = fresh_folder(spark, "catalog")
+    D.catalog(spark, sf).write.parquet(path)
+    return cat.read_catalog(spark, path)
 
 
 @check(f"with {CATALOG} select item_id, path from catalog where path is not null and path <> ''")
@@ -145,6 +147,17 @@ def pending_items(spark, sf):
     return _pending(spark, sf)
 
 
+@check(f"""with {CATALOG} select a.item_id, library_id, case when i.doc_id is null then coalesce(name, 'Unknown') else concat('Old ', coalesce(name, 'Unknown')) end as name,
+       item_type, case when i.doc_id is not null then 'Video' when item_type = 'Episode' then 'Serie' else 'Movie' end as kind, path, date_created
+       from allowed a left join items i on i.item_id = a.item_id where path in (select path from files)
+       and a.item_id not in (select item_id from binaries) and (i.doc_id is null or not path like '%3.mkv')""")
+def pending_items_stored(spark, sf):
+    """Stored items have other names than the catalog, and some a blank path."""
+    stored = D.metadata_items(spark, sf).withColumns({
+        "name": F.concat(F.lit("Old "), "name"), "path": F.when(F.col("path").like("%3.mkv"), "").otherwise(F.col("path"))})
+    return B.pending_items(D.catalog(spark, sf), D.binaries(spark, sf), D.excluded_libraries(spark, sf), D.source_files(spark, sf), stored)
+
+
 _DATE = "try_cast(left(date_created, 19) as timestamp)"
 for _order, _sql in {
     "newest_first": f"{_DATE} desc nulls last",
@@ -297,18 +310,19 @@ def frames_scan(spark, sf):
 
 
 @check(f"""with {CATALOG}, o as (select item_id, doc_id, doc_id % 4 as way, extraction_attempts from items)
-       select item_id, case when way = 0 then 'pending' when way = 1 then 'failed' else 'completed' end as extraction_status,
-              case when way = 1 then 'no frames written' end as extraction_error, extraction_attempts + 1 as extraction_attempts,
+       select item_id, case when way = 0 then 'pending' when way = 1 or doc_id % 8 = 2 then 'failed' else 'completed' end as extraction_status,
+              case when way = 0 then null when doc_id % 8 = 2 then 'decoder broke off' when way = 1 then 'no frames written' end as extraction_error, extraction_attempts + 1 as extraction_attempts,
               case when way < 2 then 0 else doc_id end as frames_current,
               case when way = 0 then 0 else 2000 end as frames_total,
               case when way < 2 then 0 else least(99, doc_id * 100 // 2000) end as extraction_progress
        from o where not (way >= 2 and doc_id = 0)""")
 def finish_items(spark, sf):
-    """Outcome of an extraction run: some cancelled, some without frames, the rest done."""
+    """Outcome of an extraction run: some cancelled, some without frames, some with frames and an error, the rest done."""
     way = F.col("doc_id") % 4
+    error = F.when(F.col("doc_id") % 8 == 2, "decoder broke off")
     outcome = D.table(spark, sf, "labels").select(
         F.md5(F.col("doc_id").cast("string")).alias("item_id"), F.when(way != 1, F.col("doc_id")).alias("frames"),
-        F.lit(2000).alias("frames_total"), (way == 0).alias("cancelled"), F.lit(None).cast("string").alias("error"))
+        F.lit(2000).alias("frames_total"), (way == 0).alias("cancelled"), error.alias("error"))
     return extraction.finish_items(D.metadata_items(spark, sf), outcome, _now()).select(
         "item_id", "extraction_status", "extraction_error", "extraction_attempts", "frames_current", "frames_total",
         "extraction_progress")

@@ -56,7 +56,7 @@ def route_sessions(spark, sf):
        union all select session_id, 'h5', 19446, 6 from sess) select * from loose""")
 def route_sessions_loose(spark, sf):
     """An identifier without letters and digits matches every named device."""
-    return R.route_sessions(D.sessions(spark, sf), D.device_mappings(spark)).select(
+    return R.route_sessions(D.sessions(spark, sf), D.device_mappings(spark), strict=False).select(
         "session_id", "host", "port", "mapping_order")
 
 
@@ -78,12 +78,11 @@ def first_targets(spark, sf):
 # ---- events ---------------------------------------------------------------------------------
 
 _DAY_US = 86_400_000_000
-_HOT = 66  # about half of the sessions have more events and are split
 
 
 @check(f"with {EVENTS} select session_id, event_id, position_s, prev_position_s from p where abs(position_s - prev_position_s) > 0.5")
 def seek_events(spark, sf):
-    return P.seek_events(D.playback_events(spark, sf), _DAY_US, _HOT).drop("ts")
+    return P.seek_events(D.playback_events(spark, sf), _DAY_US).drop("ts")
 
 
 @check(f"""with {EVENTS}, f as (select *, cast(sum(case when is_paused <> prev_paused then 1 else 0 end) over (
@@ -91,14 +90,14 @@ def seek_events(spark, sf):
        select session_id, play_no, flips, is_paused, count(*) as events, min(ts) as first_ts, max(ts) as last_ts from f
        group by session_id, play_no, flips, is_paused""")
 def pause_islands(spark, sf):
-    return P.pause_islands(D.playback_events(spark, sf), _DAY_US, _HOT).withColumns(
+    return P.pause_islands(D.playback_events(spark, sf), _DAY_US).withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})
 
 
 @check(f"""with {EVENTS} select session_id, event_id, case when is_paused then 'pause' else 'resume' end as change from p
        where is_paused <> prev_paused""")
 def pause_changes(spark, sf):
-    return P.pause_changes(D.playback_events(spark, sf), hot_rows=_HOT).drop("ts")
+    return P.pause_changes(D.playback_events(spark, sf), _DAY_US).drop("ts")
 
 
 @check(f"""with {EVENTS},
@@ -108,7 +107,7 @@ def pause_changes(spark, sf):
               then epoch_us(next_ts) - epoch_us(ts) end), 0) / 1e6 as played_s
        from o left join k using (session_id, play_no) group by session_id, play_no""")
 def played_time(spark, sf):
-    return P.played_time(D.playback_events(spark, sf), _DAY_US, _HOT)
+    return P.played_time(D.playback_events(spark, sf), _DAY_US)
 
 
 _STARTS = """

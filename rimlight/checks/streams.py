@@ -23,8 +23,8 @@ def _playback_stream(spark, sf):
     day = F.dayofmonth("ts")
     for no in range(_SLICES):
         part = events.where(F.floor((day - 1) * _SLICES / 31) == no)
-        part.repartition(2, "session_id").write.mode("append").parquet(folder)
-    return read_events(spark, folder, events.schema, files_per_batch=2)
+        part.repartition("session_id").write.mode("append").parquet(f"{folder}/slice={no}")
+    return read_events(spark, f"{folder}/*", events.schema, bytes_per_batch=64 << 20)
 
 
 def _stream_of(spark, rows):
@@ -48,11 +48,13 @@ def stream_new_items(spark, sf):
         _library_events(spark, sf), D.excluded_libraries(spark, sf), D.binaries(spark, sf))).drop("batch")
 
 
-@check("select cast(null as varchar) as item_id where false")
+@check(f"""with {CATALOG} select item_id, 'on' as gate from allowed where item_id not in (select item_id from binaries)""")
 def auto_extract_gate(spark, sf):
-    """Automatic extraction switched off: nothing passes."""
-    return L.stream_new_items(D.catalog(spark, sf).withColumn("event", F.lit("added")), D.excluded_libraries(spark, sf),
-                              D.binaries(spark, sf), enabled=False).select("item_id")
+    """The same additions with automatic extraction switched on and off: only the first pass."""
+    added = D.catalog(spark, sf).withColumn("event", F.lit("added"))
+    runs = [run_to_table(L.stream_new_items(_stream_of(spark, added), D.excluded_libraries(spark, sf), D.binaries(spark, sf), enabled=on))
+            .select("item_id", F.lit("on" if on else "off").alias("gate")) for on in (True, False)]
+    return runs[0].unionByName(runs[1])
 
 
 @check(f"""with {CATALOG} select item_id, name from catalog where doc_id % 4 = 3 and item_type in ('Movie', 'Episode')

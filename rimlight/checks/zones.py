@@ -120,12 +120,12 @@ def _frame_zone_colors(spark, sf):
         "title_id", "frame_idx", F.hex("payload").alias("payload_hex"))
 
 
-@check(f"""with {_SMALL_W}, done as (select title_id from v group by title_id having count(*) > 50)
-       {_KERNEL} where title_id not in (select title_id from done) group by all""", name="extract_lights")
+@check(f"""with {_SMALL_W}
+       {_KERNEL} where title_id % 3 <> 0 group by all""", name="extract_lights")
 def _extract_lights(spark, sf):
-    """Titles with more than 50 frames are taken as done already."""
+    """Every third title is taken as done already."""
     frames = D.frames(spark, sf, D.SMALL_WIDTH, D.SMALL_HEIGHT)
-    pending = D.led_frames(spark, sf).groupBy("title_id").count().where("count <= 50")
+    pending = D.led_frames(spark, sf).where("title_id % 3 <> 0").select("title_id").distinct()
     return extract_lights(frames, pending, D.STRIP, D.SMALL_WIDTH, D.SMALL_HEIGHT).select(
         "title_id", "frame_idx", F.hex("payload").alias("payload_hex"))
 

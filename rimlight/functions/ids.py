@@ -18,10 +18,6 @@ def canon_guid(value: Column) -> Column:
     return F.when(text.rlike(GUID_PATTERN), F.regexp_replace(text, r"0x|[-{}(),]", ""))
 
 
-def is_canon_guid(value: Column) -> Column:
-    return F.coalesce(value.rlike(_HEX32), F.lit(False))
-
-
 def norm_library_id(value: Column) -> Column:
     """Library id without dashes, in lower case."""
     return F.lower(F.replace(value, F.lit("-"), F.lit("")))

@@ -43,11 +43,6 @@ def rotate_payload(payload: Column, turn: Column, channels: Column | int) -> Col
         F.substring(payload, F.lit(1), cut)))
 
 
-def rotated_index(led_idx: Column, turn: Column, total: Column) -> Column:
-    """Output position of a light, the inverse view of ``rotate_payload``."""
-    return F.pmod(led_idx - turn, total)
-
-
 def _matrix(payloads: pd.Series) -> np.ndarray:
     """Equal-length payloads as one (rows, bytes) array."""
     return np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(len(payloads), -1)

@@ -18,11 +18,9 @@ FALLBACK_FPS = 24.0
 FALLBACK_DURATION_S = 60.0
 PROGRESS_EVERY_FRAMES = 200
 SEEK_JUMP_S = 0.5
-DEFAULT_PORT = 19446
 TICKS_PER_SECOND = 10_000_000
 ITEM_TYPES = ("Movie", "Episode")
 LIBRARY_NODE_TYPES = ("CollectionFolder", "UserView")
-ORDERINGS = ("newest_first", "oldest_first", "alphabetical", "movies_newest_first")
 MIN_ZONE_DEPTH = 12
 MAX_ZONE_DEPTH_SHARE = 0.12
 GREY_WEIGHTS = (0.299, 0.587, 0.114)
@@ -75,15 +73,6 @@ class Tuning:
         return 0.0 if self.smooth_s <= 0 else min(max(self.smooth_s, 0.001), 5.0)
 
 
-CATALOG_SCHEMA = T.StructType([
-    T.StructField("item_id", T.StringType()),
-    T.StructField("library_id", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("item_type", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("date_created", T.StringType()),
-])
-
 # Column of the metadata table -> key of the JSON documents. The creation-date key carries a
 # vendor prefix in the field, so readers take it as an argument.
 METADATA_KEYS = {
@@ -139,13 +128,3 @@ MAPPING_SCHEMA = T.StructType([
     T.StructField("right", T.IntegerType()),
     T.StructField("input_position", T.IntegerType()),
 ])
-
-PLAYBACK_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("session_id", T.LongType()),
-    T.StructField("title_id", T.IntegerType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("position_s", T.DoubleType()),
-    T.StructField("is_paused", T.BooleanType()),
-])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rimlight.functions import ids
 from rimlight.sources.catalog import default_name, id_filter, item_type_filter, kind_of, path_filter
-from rimlight.sources.metadata import metadata_upsert, new_item_defaults
+from rimlight.sources.metadata import new_item_defaults
 
 
 def exclude_libraries(items: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -21,26 +21,54 @@ def existing_sources(items: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sync_catalog(catalog: DataFrame, stored: DataFrame, excluded: DataFrame, now: Column) -> DataFrame:
-    """Metadata snapshot after a library sync: new items added, path and name refreshed."""
-    items = path_filter(exclude_libraries(item_type_filter(catalog), excluded))
-    fresh = items.join(stored.select("item_id"), "item_id", "left_anti")
-    seen = items.select("item_id", F.col("path").alias("_path"), F.col("name").alias("_name"))
-    refreshed = stored.join(seen, "item_id").withColumns({
-        "path": F.col("_path"), "name": default_name(F.col("_name"), F.col("name"))
-    }).drop("_path", "_name")
-    return metadata_upsert(stored, new_item_defaults(fresh, now).unionByName(refreshed), now)
+    """Metadata snapshot after a library sync: new items added, path and name refreshed.
+
+    Items without a path are skipped; a blank path is taken over and keeps the item out of the backlog.
+    """
+    items = exclude_libraries(item_type_filter(catalog), excluded).where("path is not null and item_id <> ''")
+    columns = [c for c in stored.columns if c != "item_id"]
+    new = new_item_defaults(items, now, F.col("name").alias("_given")).groupBy("item_id").agg(
+        F.max(F.struct(*columns, "_given")).alias("new"))
+    old = stored.where("item_id <> ''").groupBy("item_id").agg(
+        F.max(F.struct("updated_at", *[c for c in columns if c != "updated_at"])).alias("old"))
+    seen, known = F.col("new").isNotNull(), F.col("old").isNotNull()
+
+    def pick(name: str) -> Column:
+        was, now_is = F.col(f"old.{name}"), F.col(f"new.{name}")
+        if name == "created_at":
+            return F.coalesce(was, now_is, now)
+        if name == "updated_at":
+            return F.when(seen, now).otherwise(was)
+        if name == "name":
+            now_is, known_name = default_name(F.col("new._given"), was), now_is
+            return F.when(seen & known, now_is).when(seen, known_name).otherwise(was)
+        if name == "path":
+            return F.when(seen, now_is).otherwise(was)
+        return F.when(known, was).otherwise(now_is)
+
+    return old.join(new, "item_id", "full").select("item_id", *[pick(c).alias(c) for c in columns])
 
 
 def pending_items(
     catalog: DataFrame, binaries: DataFrame, excluded: DataFrame, files: DataFrame | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Items without a binary, earlier failures included, in all libraries that are not excluded."""
-    items = path_filter(exclude_libraries(item_type_filter(catalog), excluded))
-    if files is not None:
-        items = existing_sources(items, files)
-    return items.join(binaries.select("item_id"), "item_id", "left_anti").select(
+    """Items without a binary, earlier failures included, in all libraries that are not excluded.
+
+    What is stored about an item comes before what the catalog says, its path included.
+    """
+    items = exclude_libraries(item_type_filter(catalog), excluded).where("path is not null").select(
         "item_id", "library_id", default_name(F.col("name")).alias("name"), "item_type",
         kind_of(F.col("item_type")).alias("kind"), "path", "date_created")
+    if stored is not None:
+        known = stored.select("item_id", F.struct(*[c for c in items.columns if c != "item_id"]).alias("_s"))
+        items = items.join(known, "item_id", "left").select("item_id", *[
+            F.when(F.col("_s").isNotNull(), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in items.columns if c != "item_id"])
+    items = path_filter(items)
+    if files is not None:
+        items = existing_sources(items, files)
+    columns = ["item_id", "library_id", "name", "item_type", "kind", "path", "date_created"]
+    return items.join(binaries.select("item_id"), "item_id", "left_anti").select(*columns)
 
 
 def backlog(pending: DataFrame, order: str | None = "newest_first") -> DataFrame:

@@ -4,8 +4,8 @@ A title or session may hold a large share of all rows, so a window over the key
 sort that share in a single task. ``with_carry`` works on two levels instead: rows are windowed
 inside (key, chunk), one summary row per chunk is carried across the chunks of the key, and the
 two are joined on (key, chunk). The chunk column must not decrease along the order. Frames use
-``frame_idx div FRAME_CHUNK``, a hard bound on rows per chunk. Events are split by spans of time, and
-only those of hot keys, so the summary of a key is bounded by the time the data covers.
+``frame_idx div FRAME_CHUNK``, a hard bound on rows per chunk. Events are split by spans of time, so the
+summary of a key is bounded by the time the data covers.
 
 The chunk column stays in the result: a following call with the same chunk finds its rows
 already partitioned.
@@ -22,8 +22,6 @@ from pyspark.sql.window import Window
 
 FRAME_CHUNK = 4096
 EVENT_CHUNK_US = 60_000_000
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
 CHUNK = "chunk"
 
 
@@ -31,20 +29,9 @@ def frame_chunk(order: str = "frame_idx", size: int = FRAME_CHUNK) -> Column:
     return F.floor(F.col(order) / F.lit(size)).cast("long")
 
 
-def event_chunk(
-    events: DataFrame, key: str, ts: str = "ts", width_us: int = EVENT_CHUNK_US, hot_rows: int = HOT_ROWS,
-) -> Column:
-    """Chunk of an event: spans of time for keys with more than ``hot_rows`` rows, one chunk for the rest.
-
-    Hot keys are found by a count that combines on the map side and reads the key only. No more
-    than ``MAX_HOT_KEYS`` of them come to the driver; if there are more, all keys get spans.
-    """
-    span = F.floor(F.unix_micros(F.col(ts)) / F.lit(width_us)).cast("long")
-    hot = [r[0] for r in events.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-           .limit(MAX_HOT_KEYS + 1).collect()]
-    if len(hot) > MAX_HOT_KEYS:
-        return span
-    return F.when(F.col(key).isin(hot), span).otherwise(F.lit(0).cast("long"))
+def event_chunk(ts: str = "ts", width_us: int = EVENT_CHUNK_US) -> Column:
+    """Chunk of an event: its span of time, for every key alike."""
+    return F.floor(F.unix_micros(F.col(ts)) / F.lit(width_us)).cast("long")
 
 
 def with_carry(

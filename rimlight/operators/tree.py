@@ -26,17 +26,18 @@ def library_of_item(tree: DataFrame) -> DataFrame:
             F.when(is_root, F.col("item_id")).alias("root"),
             F.when(~is_root, F.col("parent_id")).alias("up")))
     rounds = math.ceil(math.log2(max(nodes.count(), 2))) + 1
+    done = nodes.where("up is null")
     for _ in range(rounds):
-        if nodes.where("root is null and up is not null").isEmpty():
+        # only open nodes are joined; a node that has its root, or has lost its chain, rests in ``done``
+        open_ = nodes.where("up is not null")
+        if open_.isEmpty():
             break
-        above = nodes.select(
-            F.col("item_id").alias("up"), F.col("root").alias("_root"), F.col("up").alias("_up"))
-        nodes = checkpointed(
-            nodes.join(above, "up", "left").select(
-                "item_id",
-                F.coalesce("root", "_root").alias("root"),
-                F.when(F.col("root").isNull() & F.col("_root").isNull(), F.col("_up")).alias("up")))
-    roots = nodes.where("root is not null").select(F.col("item_id").alias("parent_id"), "root")
+        above = nodes.unionByName(done).select(
+            F.col("item_id").alias("up"), F.col("root").alias("_root"), F.col("up").alias("_up")).dropDuplicates(["up"])
+        nodes = checkpointed(open_.join(above, "up", "left").select(
+            "item_id", F.col("_root").alias("root"), F.when(F.col("_root").isNull(), F.col("_up")).alias("up")))
+        done = done.unionByName(nodes.where("up is null"))
+    roots = done.where("root is not null").select(F.col("item_id").alias("parent_id"), "root")
     return tree.join(roots, "parent_id", "left").select(
         "item_id",
         F.when(is_root, F.col("item_id")).otherwise(F.coalesce("root", "parent_id")).alias("library_id"))

@@ -13,9 +13,9 @@ from rimlight.operators.zone_kernel import frame_zone_colors
 
 def extraction_backlog(
     catalog: DataFrame, binaries: DataFrame, excluded: DataFrame, files: DataFrame | None,
-    order: str = "newest_first",
+    order: str = "newest_first", stored: DataFrame | None = None,
 ) -> DataFrame:
-    return backlog(pending_items(catalog, binaries, excluded, files), order)
+    return backlog(pending_items(catalog, binaries, excluded, files, stored), order)
 
 
 def extract_lights(frames: DataFrame, pending: DataFrame, layout: Layout, width: int, height: int) -> DataFrame:
@@ -27,10 +27,10 @@ def extract_lights(frames: DataFrame, pending: DataFrame, layout: Layout, width:
 def finish_items(items: DataFrame, outcome: DataFrame, now: Column) -> DataFrame:
     """Metadata after a run. ``outcome(item_id, frames, frames_total, cancelled, error)``.
 
-    Done: completed. Nothing written: failed. Cancelled: pending again. Every run counts as an
-    attempt.
+    Cancelled: pending again. An error, or nothing written: failed, with the reason. Otherwise
+    completed. Every run counts as an attempt.
     """
-    ok = F.coalesce(F.col("o.frames"), F.lit(0)) > 0
+    ok = F.col("o.error").isNull() & (F.coalesce(F.col("o.frames"), F.lit(0)) > 0)
     cancelled = F.coalesce(F.col("o.cancelled"), F.lit(False))
     status = F.when(cancelled, "pending").when(ok, "completed").otherwise("failed")
     error = F.when(~cancelled & ~ok, F.coalesce(F.col("o.error"), F.lit("no frames written")))

@@ -11,11 +11,7 @@ from rimlight.model import ITEM_TYPES
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """All libraries in one scan; type and path filters reach the Parquet reader."""
-    return catalog_scan(spark.read.parquet(path))
-
-
-def catalog_scan(catalog: DataFrame) -> DataFrame:
-    return item_type_filter(catalog)
+    return item_type_filter(spark.read.parquet(path))
 
 
 def item_type_filter(items: DataFrame) -> DataFrame:

@@ -101,8 +101,8 @@ def metadata_upsert(stored: DataFrame, changes: DataFrame, now: Column) -> DataF
     return both.select("item_id", *[pick(c).alias(c) for c in rest])
 
 
-def new_item_defaults(items: DataFrame, now: Column) -> DataFrame:
-    """Full metadata rows for catalog items that are seen for the first time."""
+def new_item_defaults(items: DataFrame, now: Column, *more: Column) -> DataFrame:
+    """Full metadata rows for catalog items that are seen for the first time, and ``more`` columns of the items."""
     from rimlight.sources.catalog import default_name, kind_of
 
     values = {
@@ -115,7 +115,7 @@ def new_item_defaults(items: DataFrame, now: Column) -> DataFrame:
         "frames_current": F.lit(0), "frames_total": F.lit(0),
     }
     return items.select(*[
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA_SCHEMA.fields])
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA_SCHEMA.fields], *more)
 
 
 def progress_overlay(items: DataFrame, progress: DataFrame) -> DataFrame:

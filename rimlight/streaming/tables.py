@@ -28,9 +28,16 @@ def run_to_table(stream: DataFrame, mode: str = "append", each: Callable[[DataFr
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if not _written(spark, out):
+        write(spark.createDataFrame([], stream.schema), 0)  # nothing came: a table without rows
     return spark.read.parquet(out)
 
 
+def _written(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_events(
     spark: SparkSession, folder: str, schema, files_per_batch: int | None = None, bytes_per_batch: int = 256 << 20,
 ) -> DataFrame:

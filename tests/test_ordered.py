@@ -85,21 +85,18 @@ SCRIPT = [
 ]
 
 
-@pytest.mark.parametrize("chunk_us, hot_rows", [(1_000_000, 0), (25_000_000, 0), (10**12, 0), (1_000_000, 10**6)])
-def test_playback_script(spark, chunk_us, hot_rows):
+@pytest.mark.parametrize("chunk_us", [1_000_000, 25_000_000, 10**12])
+def test_playback_script(spark, chunk_us):
     ev = events(spark, SCRIPT)
-    assert [r.event_id for r in P.seek_events(ev, chunk_us, hot_rows).collect()] == [4]
-    changes = {r.event_id: r.change for r in P.pause_changes(ev, chunk_us, hot_rows).collect()}
+    assert [r.event_id for r in P.seek_events(ev, chunk_us).collect()] == [4]
+    changes = {r.event_id: r.change for r in P.pause_changes(ev, chunk_us).collect()}
     assert changes == {5: "pause", 7: "resume", 13: "pause"}
-    played = {r.play_no: r.played_s for r in P.played_time(ev, chunk_us, hot_rows).collect()}
+    played = {r.play_no: r.played_s for r in P.played_time(ev, chunk_us).collect()}
     # play 1: seek at 40, then 40..50 and 70..80; play 2: 90..100; play 3: 100..110
     assert played == {1: 20.0, 2: 10.0, 3: 10.0}
 
 
-def test_only_hot_keys_are_split(spark, monkeypatch):
+def test_chunks_are_spans_of_time_for_every_key(spark):
     ev = events(spark, [(1, t * 60, "progress", 0.0, False) for t in range(50)] + [(2, t * 60, "stop", 0.0, False) for t in range(5)])
-    count = lambda: {r.session_id: r.n for r in ev.groupBy("session_id").agg(F.count_distinct(
-        ordered.event_chunk(ev, "session_id", hot_rows=10)).alias("n")).collect()}
-    assert count() == {1: 50, 2: 1}
-    monkeypatch.setattr(ordered, "MAX_HOT_KEYS", 0)
-    assert count() == {1: 50, 2: 5}
+    chunks = ev.groupBy("session_id").agg(F.count_distinct(ordered.event_chunk()).alias("n"))
+    assert {r.session_id: r.n for r in chunks.collect()} == {1: 50, 2: 5}

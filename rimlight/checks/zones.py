@@ -70,16 +70,18 @@ def edge_norm(spark, sf):
 
 
 @check(f"""with {_LAYOUTS} {rects('layouts')}, z as (select layout_id, led_idx, x2 - x1 as w, y2 - y1 as h from rects
-         where x2 > x1 and y2 > y1), p as (select *, unnest(range(w)) as x from z)
-       select layout_id, led_idx, x, round(exp(-(power(x - w // 2, 2) + power(0 - h // 2, 2)) /
-         (2.0::double * power(greatest(least(w, h) / 4.0::double, 1.0::double), 2))), 9) as weight from p""")
+         where x2 > x1 and y2 > y1), row as (select *, unnest(range(h)) as y from z), p as (select *, unnest(range(w)) as x from row),
+       c as (select *, exp(-(power(x - w // 2, 2) + power(y - h // 2, 2)) /
+         (2.0::double * power(greatest(least(w, h) / 4.0::double, 1.0::double), 2))) as weight from p)
+       select layout_id, led_idx, count(*) as pixels, round(sum(weight * (x + 2 * y + 1)), 4) as weight, round(min(weight), 9) as low from c group by all""")
 def center_weight(spark, sf):
-    """Weights along the first row of every zone of every layout."""
+    """Weights of all pixels of every zone of every layout, summed up with their places."""
     z = Z.zone_rects(D.layouts(spark, sf)).where("x2 > x1 and y2 > y1").select(
         "layout_id", "led_idx", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    p = z.withColumn("x", F.explode(F.expr("sequence(0, w - 1)")))
-    return p.select("layout_id", "led_idx", "x", F.round(
-        color.center_weight(F.col("x"), F.lit(0), F.col("w"), F.col("h")), 9).alias("weight"))
+    p = z.withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, w - 1)")))
+    weight = color.center_weight(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    return p.groupBy("layout_id", "led_idx").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.sum(weight * (F.col("x") + 2 * F.col("y") + 1)), 4).alias("weight"), F.round(F.min(weight), 9).alias("low"))
 
 
 @check(f"""with {_SMALL_W} select title_id, frame_idx, led_idx, round(sum(weight * (x + y)), 5) as weight,

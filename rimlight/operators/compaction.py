@@ -132,24 +132,25 @@ def dark_frames(frames: DataFrame, threshold: float) -> DataFrame:
     return frames.where(F.col("lum") < threshold)
 
 
-def crc_of_frame(text: Column) -> Column:
-    return F.crc32(text)
+def crc_of_frame(body: Column) -> Column:
+    return F.crc32(body)
 
 
-def md5_of_frame(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def md5_of_frame(body: Column) -> Column:
+    return F.conv(F.substring(F.md5(body), 1, 8), 16, 10).cast("long")
 
 
-def chunk_checksum(frames: DataFrame, chunk_us: int = CHUNK_US, digest=crc_of_frame) -> DataFrame:
-    """Checksum per chunk: the sum of 32-bit digests of "number:timestamp:payload".
+def chunk_checksum(frames: DataFrame, chunk_us: int = CHUNK_US, digest=md5_of_frame) -> DataFrame:
+    """Checksum per chunk: the sum of 32-bit digests of "number:timestamp:" and the payload's bytes.
 
     The frame number is part of the digested text, so the sum notices swapped frames although
     it can be formed in any order.
     """
-    text = F.concat_ws(":", F.col("frame_idx").cast("string"), F.col("ts_us").cast("string"), F.hex("payload"))
+    head = F.concat(F.col("frame_idx").cast("string"), F.lit(":"), F.col("ts_us").cast("string"), F.lit(":"))
+    body = F.concat(head.cast("binary"), F.col("payload"))
     return frames.groupBy("title_id", _chunk_of("ts_us", chunk_us).alias("chunk_no")).agg(
         F.count(F.lit(1)).alias("frames"),
-        (F.sum(digest(text.cast("binary"))) % F.lit(2 ** 32)).alias("checksum"))
+        (F.sum(digest(body)) % F.lit(2 ** 32)).alias("checksum"))
 
 
 def bad_chunks(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -76,3 +76,17 @@ def test_short_payloads_are_left_out_of_the_display(spark, sf_dir):
     assert got and not [i for i in got if i % 10 == 3]
     plan = shown._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_crc_checksums(spark, sf_dir):
+    import zlib
+
+    from rimlight.operators import compaction as C
+
+    frames = D.led_frames(spark, sf_dir)
+    want = {}
+    for r in frames.collect():
+        key = (r.title_id, r.ts_us // 500_000)
+        want[key] = (want.get(key, 0) + zlib.crc32(f"{r.frame_idx}:{r.ts_us}:".encode() + bytes(r.payload))) % 2 ** 32
+    got = {(r.title_id, r.chunk_no): r.checksum for r in C.chunk_checksum(frames, 500_000, C.crc_of_frame).collect()}
+    assert got == want

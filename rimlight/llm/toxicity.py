@@ -107,6 +107,22 @@ def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.mapInArrow(encode, "doc_id long, terms array<int>, counts array<int>")
 
 
+def _document_frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """Documents with each term, summed up within the tasks first, and the number of documents."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms + 1, np.int64)
+        for batch in batches:
+            total[:n_terms] += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+            total[n_terms] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "n"])
+
+    df = np.zeros(n_terms + 1)
+    for r in encoded.select("terms").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
+    return df[:n_terms], int(df[n_terms])
+
+
 class Voter:
     """The fitted model: weights of terms, the index of examples, their votes and the calibration."""
 
@@ -161,10 +177,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     have = {r["label"]: r["n"] for r in sampled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     terms = vocabulary(sampled, have.get(1, 0), have.get(0, 0)) if have else []
     encoded = stored(_with_terms(docs, terms), "terms")
-    n_docs = encoded.count()
-    df = np.zeros(len(terms))
-    for r in encoded.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[r["t"]] = r["n"]
+    df, n_docs = _document_frequencies(encoded, len(terms))
     idf = np.log((n_docs + 1) / (df + 1)) + 1e-3
     examples = _with_terms(sampled.select("doc_id", "text"), terms).join(sampled.select("doc_id", "label"), "doc_id")
     share = {y: counts[y] / n for y, n in have.items()}

@@ -123,7 +123,11 @@ def disclosing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     entities = near.groupBy("entity").agg(F.countDistinct("near").alias("places"), F.countDistinct("h").alias("n_e")).where(F.col("places") >= MIN_CONTEXTS)
     pairs = (near.join(entities.select("entity"), "entity", "left_semi").select("entity", "near", "h", F.explode("terms").alias("term"))
              .groupBy("entity", "term").agg(F.countDistinct("near").alias("places"), F.countDistinct("h").alias("n_et")).where(F.col("places") >= MIN_CONTEXTS))
-    pairs = stored(pairs.join(entities.select("entity", "n_e"), "entity").select("entity", "term", "n_et", "n_e"), "pairs")
+    # neighbourhoods alone bound a term's count from below, and so its PMI from above: common words go here
+    n = found.agg(F.countDistinct("h")).first()[0]
+    seen = near.select("h", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("h").alias("n_near"))
+    pairs = pairs.join(entities.select("entity", "n_e"), "entity").join(seen, "term").where(_share(n, "n_near") >= DISCLOSURE)
+    pairs = stored(pairs.select("entity", "term", "n_et", "n_e"), "pairs")
     nothing = "doc_id bigint, h bigint, term string, share double"
     if pairs.isEmpty():
         return rows.sparkSession.createDataFrame([], nothing)
@@ -131,14 +135,18 @@ def disclosing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     words = rows.select("doc_id", "h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
     places = stored(words.join(broadcast_if_small(terms), "term"), "places")
     n_t = places.groupBy("term").agg(F.countDistinct("h").alias("n_t"))
-    n = rows.agg(F.countDistinct("h")).first()[0]
-    pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
-    ic = F.log(F.lit(float(n)) / F.col("n_e"))
-    strong = (pairs.join(n_t, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    strong = (pairs.join(n_t, "term").withColumn("share", _share(n, "n_t"))
               .where(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share")))
     return places.join(strong, "term").select("doc_id", "h", "term", "share")
 
 
+def _share(n: int, count: str) -> Column:
+    """PMI of entity and term as a share of the entity's information content, among ``n`` texts."""
+    pmi = F.log(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col(count)))
+    ic = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+    return F.when(ic > 0, pmi / ic).otherwise(0.0)
+
+
 def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """``t_id``, ``t_h``, ``terms``: the places of a document's disclosing terms."""
     mine = terms.distinct().groupBy("doc_id", "h").agg(

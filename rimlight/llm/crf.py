@@ -20,7 +20,7 @@ LETTERS = regex.compile(r"\p{L}+")
 BITS = 17
 CHUNK = 96
 #: Words whose scores a worker keeps.
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 

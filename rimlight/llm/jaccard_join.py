@@ -6,19 +6,22 @@ that a set meets its partners in its own band or the one below. For each band th
 divided into more partitions than two sets of that band may differ in; so at least one partition holds
 the same shingles of both. A signature is the hash of a band, a partition and the shingles in it.
 
-Equal empty partitions say nothing, yet could be the only equal ones. There are some more partitions
-than needed, so that nearly every set fills more of them than it may differ in, and then an equal one
-that is not empty exists. The few sets that fill fewer also emit their empty partitions; of two
+Partitions with few shingles tell little: the empty ones nothing, and one that holds a single shingle of
+a widely used line is shared by many documents that have nothing else in common. Only partitions of two
+or more shingles are signatures (one in the bands of small sets). There are some more partitions than
+needed, so that nearly every set fills more of them than it may differ in; then one of these is equal in
+any set similar to it. The few sets that do not, emit all their partitions, empty ones as well; of two
 similar sets both must be of that kind to need it.
 
 Steps, each a Spark job over all rows:
 
-1. every text becomes a 128-bit key of its words and the size of its set; equal keys are one class;
+1. every text becomes a 128-bit key of its words, the size of its set and a histogram of it;
+   equal keys are one class;
 2. signatures, of one text per key and task, travel packed in blocks; each block group finds the
    signatures of two or more texts (a bucket);
-3. every member of a bucket is compared with one representative, exactly, on the shingle sets;
-4. buckets that still hold members of different components are compared pair by pair, except for
-   pairs whose shingle histograms prove them too different;
+3. every member of a bucket is compared with one representative: first the histograms, which bound
+   the number of shared shingles from above, then, if they allow it, the shingle sets, exactly;
+4. buckets that still hold members of different components are compared pair by pair in that way;
 5. verified links, and membership in classes, give the components.
 
 Links inside a component need not be enumerated; a pair is skipped only if it is connected already or
@@ -47,12 +50,21 @@ from rimlight.llm.components import components
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: Signatures that one block group holds on average (16 bytes each).
-GROUP_SIGNATURES = 1_000_000
+GROUP_SIGNATURES = 500_000
 #: Signatures that a task packs at once.
-PACKED = 1_500_000
+PACKED = 1_000_000
 #: Members of one comparison group.
 MEMBERS = 500
+#: Shingles (8 bytes each) of the texts that are compared within one group.
+GROUP_SHINGLES = 3_000_000
+#: Bytes of a table of texts and members before it is packed to bits, and pairs compared at once (1 kB each).
+TABLE_BYTES, PAIRS_AT_ONCE = 16 << 20, 8_000
+#: Cells of a set's histogram, one byte each.
 CELLS = 256
+#: Bands up to this size take partitions of a single shingle as signatures.
+SMALL = 64
+#: Bits of the sieve that spares most documents a shuffle; beyond its reach more pass, the result is the same.
+SIEVE_BITS = 1 << 24
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,10 +100,11 @@ class Bands:
             self.high.append(max(low, low * 100 // self.percent))
         return int(np.searchsorted(self.high, size))
 
-    def plan(self, band: int) -> tuple[int, int]:
+    def plan(self, band: int) -> tuple[int, int, int]:
+        """How far two sets may differ, the number of partitions, and the least shingles of a telling one."""
         top = self.high[band]
         most = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-        return most, (most + 1) * 11 // 10 + 3
+        return (most, 2 * top, 1) if top <= SMALL else (most, (most + 1) * 27 // 20 + 3, 2)
 
     def signatures(self, members: np.ndarray) -> np.ndarray:
         band = self.of(len(members))
@@ -99,27 +112,51 @@ class Bands:
         for b in (band, band - 1):
             if b < 1 or len(members) * self.percent > self.high[b] * 100:
                 continue
-            differ, parts = self.plan(b)
+            differ, parts, least = self.plan(b)
             place = ((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as members are
-            filled, first = np.unique(place, return_index=True)
+            filled, first, counts = np.unique(place, return_index=True, return_counts=True)
             body = np.add.reduceat(_mixed(members ^ np.uint64(b)), first)
-            seed = _mixed(np.uint64([b]))[0]
-            out.append(_mixed(body ^ _mixed(filled * _MULTIPLIER ^ seed)))
-            if len(filled) <= differ:
+            seed = _mixed(np.array([b], np.uint64))[0]
+            sigs = _mixed(body ^ _mixed(filled * _MULTIPLIER ^ seed))
+            telling = counts >= least
+            if telling.sum() > differ:
+                out.append(sigs[telling])
+            else:
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                out.append(_mixed(_mixed(empty * _MULTIPLIER ^ seed) + np.uint64(1)))
+                out += [sigs, _mixed(_mixed(empty * _MULTIPLIER ^ seed) + np.uint64(1))]
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _histogram(members: np.ndarray) -> bytes:
+    """Shingles by cell, at most 255."""
+    return np.minimum(np.bincount((members % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _cells(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, CELLS)
+
+
+def _may_be_similar(cells_a: np.ndarray, size_a: np.ndarray, cells_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """False where sizes or histograms prove that too few shingles are shared (rows against rows, or one against rows).
+
+    Cells bound the shared shingles by the lesser counts; shingles beyond a full cell's 255 could all be shared.
+    """
+    need = -(-PERCENT * (size_a + size_b) // (100 + PERCENT))
+    beyond = np.minimum(size_a - cells_a.sum(axis=-1, dtype=np.int64), size_b - cells_b.sum(axis=-1, dtype=np.int64))
+    return (np.minimum(size_a, size_b) >= need) & (np.minimum(cells_a, cells_b).sum(axis=-1, dtype=np.int64) + beyond >= need)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sizes = [], []
+        keys, sizes, cells = [], [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
+            members = shingle_set(words)
             keys.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest() if words else None)
-            sizes.append(len(shingle_set(words)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())],
-                                         names=["doc_id", "key", "n_shingles"])
+            sizes.append(len(members))
+            cells.append(_histogram(members))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(cells, pa.binary())],
+                                         names=["doc_id", "key", "n_shingles", "cells"])
 
 
 def _pack(groups: int):
@@ -135,9 +172,12 @@ def _pack(groups: int):
             sig, doc, group = sig[order], doc[order], group[order]
             at = np.flatnonzero(np.diff(group, prepend=-1))
             ends = np.append(at[1:], len(group))
+            short = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]  # equal ones stay equal; a chance match is only a candidate
+            step = np.diff(doc, prepend=0)
+            step[at] = doc[at]
             return pa.RecordBatch.from_arrays([
-                pa.array(group[at]), pa.array([sig[a:e].tobytes() for a, e in zip(at, ends)], pa.binary()),
-                pa.array([doc[a:e].tobytes() for a, e in zip(at, ends)], pa.binary())], names=["part", "sigs", "ids"])
+                pa.array(group[at]), pa.array([short[a:e].tobytes() for a, e in zip(at, ends)], pa.binary()),
+                pa.array([step[a:e].tobytes() for a, e in zip(at, ends)], pa.binary())], names=["part", "sigs", "ids"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -162,8 +202,11 @@ def _pack(groups: int):
 
 def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     """Signatures of several texts: ``sig``, the representative ``rep`` and the sorted ``ids``, each set of ids once."""
-    sig = np.concatenate([np.frombuffer(b, np.uint64) for b in pdf["sigs"]])
-    doc = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["ids"]])
+    short = np.frombuffer(b"".join(pdf["sigs"]), np.uint8).reshape(-1, 5)
+    sig = np.zeros((len(short), 8), np.uint8)
+    sig[:, 3:] = short
+    sig = sig.view("<u8").reshape(-1)
+    doc = np.concatenate([np.cumsum(np.frombuffer(b, np.int64)) for b in pdf["ids"]])
     order = np.argsort(sig, kind="stable")
     sig, doc = sig[order], doc[order]
     same = sig[1:] == sig[:-1]
@@ -198,77 +241,194 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.full(len(found), rep, np.int64), "b": np.array(found, np.int64)})
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs whose sizes and histograms allow a link."""
     for batch in batches:
-        sets = [shingle_set(words_of(t)).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "members"])
+        if batch.num_rows:
+            cells = [_cells(batch.column(c).to_pylist()) for c in ("rep_cells", "cells")]
+            sizes = [batch.column(c).to_numpy() for c in ("rep_size", "n_shingles")]
+            yield batch.select(["rep", "id"]).filter(pa.array(_may_be_similar(cells[0], sizes[0], cells[1], sizes[1])))
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashed ids: a first sieve for rows to be joined with ``ids``."""
+    rows = (ids.select((F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS)) + 1).alias("p"))
+            .groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect())
+    marks = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in rows:
+        marks[(r["k"] - 1) * 4096:r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return marks
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``members`` of the documents named by ``ids``, and of a few more that the sieve lets pass."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("p").to_numpy()
+            batch = batch.filter(pa.array((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            found = [shingle_set(words_of(t)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["id", "members"])
+
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS))).mapInArrow(sets, "id long, members binary")
+
+
+def _possible_links(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The similar ones among candidate pairs (``rep``, ``id``), histograms first."""
+    facts = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "n_shingles", "cells")
+    of_rep = facts.select(F.col("id").alias("rep"), F.col("n_shingles").alias("rep_size"), F.col("cells").alias("rep_cells"))
+    return _links(stored(pairs.distinct().join(facts, "id").join(of_rep, "rep").mapInArrow(_possible, "rep long, id long").distinct(), "pairs"), docs)
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The similar ones among candidate pairs (``rep``, ``id``). A representative's members are dealt to groups of bounded size."""
-    pairs = stored(pairs.distinct(), "pairs")
+    """The similar ones among pairs (``rep``, ``id``). A representative's members are dealt to groups of bounded size."""
     crowd = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("groups"))
     dealt = pairs.join(crowd, "rep").withColumn("deal", F.pmod(F.xxhash64("id"), F.col("groups"))).select("rep", "deal", "id")
     dealt = stored(dealt.unionByName(dealt.select("rep", "deal").distinct().withColumn("id", F.col("rep"))), "dealt")
-    wanted = dealt.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, members binary")
-    return stored(dealt.join(sets, "id").groupBy("rep", "deal").applyInPandas(_verify, "a long, b long"), "links")
-
-
-def _left_over(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket that are in different components, were not compared, and may be similar by their histograms."""
-    ids, comp, size, rep = (pdf[c].to_numpy() for c in ("id", "component", "n_shingles", "rep"))
-    cells = np.stack([np.frombuffer(b, np.uint8) for b in pdf["cells"]])
-    pairs = []
-    for k in range(len(ids) - 1):
-        other = np.arange(k + 1, len(ids))
-        total = size[k] + size[other]
-        need = -(-PERCENT * total // (100 + PERCENT))  # shared shingles, at least
-        other = other[(comp[other] != comp[k]) & (np.minimum(size[k], size[other]) >= need)
-                      & (ids[k] != rep[k]) & (ids[other] != rep[k])]
-        if not len(other):
-            continue
-        need = -(-PERCENT * (size[k] + size[other]) // (100 + PERCENT))
-        bound = np.minimum(cells[k], cells[other]).sum(axis=1, dtype=np.int64)
-        full = (cells[k].max() == 255) | (cells[other].max(axis=1) == 255)  # counts that may be cut off prove nothing
-        pairs += [(ids[k], ids[j]) for j in other[(bound >= need) | full]]
-    return pd.DataFrame(pairs, columns=["rep", "id"], dtype=np.int64)
-
+    return stored(dealt.join(_sets_of(docs, dealt), "id").groupBy("rep", "deal").applyInPandas(_verify, "a long, b long"), "links")
+
+
+def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shared members of the sets ``left[i]`` and ``right[i]``, by bitmaps over the members that several sets have."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number = (np.cumsum(several) - 1)[member]
+    owner, number = owner[several[member]], number[several[member]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    shared = np.zeros(len(left), np.int64)
+    block = max(64, min(8192, TABLE_BYTES // len(sets) // 64 * 64))
+    for first in range(0, int(several.sum()), block):
+        a, e = np.searchsorted(number, (first, first + block))
+        table = np.zeros((len(sets), block), bool)
+        table[owner[a:e], number[a:e] - first] = True
+        bits = np.packbits(table, axis=1).view(np.uint64)
+        for k in range(0, len(left), PAIRS_AT_ONCE):
+            part = slice(k, k + PAIRS_AT_ONCE)
+            shared[part] += np.bitwise_count(bits[left[part]] & bits[right[part]]).sum(axis=1, dtype=np.int64)
+    return shared
+
+
+def _verify_dense(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """The similar ones among the pairs, component by component."""
+    found_a, found_b = [], []
+    order = np.argsort(pairs["component"].to_numpy(), kind="stable")
+    of, reps, ids = (pairs[c].to_numpy()[order] for c in ("component", "rep", "id"))
+    own_order = np.lexsort((sets["text_id"].to_numpy(), sets["of"].to_numpy()))
+    own, text_id, members = sets["of"].to_numpy()[own_order], sets["text_id"].to_numpy()[own_order], sets["members"].to_numpy()[own_order]
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, int)
+    for a, e in zip(starts.tolist(), np.append(starts[1:], len(of)).tolist()):
+        lo, hi = np.searchsorted(own, of[a], "left"), np.searchsorted(own, of[a], "right")
+        body, names = [np.frombuffer(b, np.uint64) for b in members[lo:hi]], text_id[lo:hi]
+        size = np.array([len(x) for x in body])
+        left, right = np.searchsorted(names, reps[a:e]), np.searchsorted(names, ids[a:e])
+        if len(np.unique(names)) < len(names):  # an id with several texts: all of them count
+            rows = pd.DataFrame({"name": names, "row": np.arange(len(names))})
+            both = pd.DataFrame({"rep": reps[a:e], "id": ids[a:e]}).merge(rows.rename(columns={"name": "rep", "row": "left"}), on="rep").merge(
+                rows.rename(columns={"name": "id", "row": "right"}), on="id")
+            left, right = both["left"].to_numpy(), both["right"].to_numpy()
+        shared = _shared_counts(body, left, right)
+        link = 100 * shared >= PERCENT * (size[left] + size[right] - shared)
+        found_a.append(names[left[link]])
+        found_b.append(names[right[link]])
+    none = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(found_a or none), "b": np.concatenate(found_b or none)})
+
+
+def _shares(weights: DataFrame) -> int:
+    """Groups that components are dealt to: about ``GROUP_SHINGLES`` in each, and enough for all tasks of a shuffle."""
+    total = weights.agg(F.sum("w")).first()[0] or 0
+    return max(int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // GROUP_SHINGLES))
+
+
+def _dense_links(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links that matter among many candidate pairs of the same texts.
+
+    Pairs are grouped by the components they would form if all were similar, so a text's set travels once. Groups
+    hold ``GROUP_SHINGLES`` at most; larger components go the way of single pairs.
+    """
+    groups = stored(components(pairs.select(F.col("rep").alias("a"), F.col("id").alias("b"))), "candidates")
+    sizes = rows.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_shingles").alias("n_shingles"))
+    weight = stored(groups.join(sizes, "id").groupBy("component").agg(F.sum("n_shingles").alias("w")), "weights")
+    small = weight.where(F.col("w") <= GROUP_SHINGLES)
+    key = F.pmod(F.xxhash64("component"), F.lit(_shares(small)))
+    held = stored(groups.join(small.select("component"), "component").select("id", "component", key.alias("deal")), "held")
+    ours = pairs.join(held.withColumnRenamed("id", "rep"), "rep").select("deal", "component", "rep", "id")
+    sets = _sets_of(docs, held).join(held, "id").select(F.col("deal").alias("share"), F.col("component").alias("of"), F.col("id").alias("text_id"), "members")
+    dense = ours.groupBy("deal").cogroup(sets.groupBy("share")).applyInPandas(_verify_dense, "a long, b long")
+    large = groups.join(weight.where(F.col("w") > GROUP_SHINGLES).select("component"), "component").select(F.col("id").alias("rep"))
+    sparse = stored(pairs.join(large, "rep", "left_semi"), "sparse")
+    dense = stored(dense, "links")
+    return dense if sparse.isEmpty() else dense.unionByName(_links(sparse, docs))
+
+
+def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs within buckets (rows come sorted by them) in different components that were not compared yet and may be similar."""
+    known: set[tuple[int, int]] = set()
+    held: list[pa.RecordBatch] = []
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        sig, rep, ids, comp, size = (table.column(c).to_numpy() for c in ("sig", "rep", "id", "component", "n_shingles"))
+        cells = _cells(table.column("cells").to_pylist())
+        at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        pairs = []
+        for a, e in zip(at.tolist(), np.append(at[1:], len(sig)).tolist()):
+            if (comp[a:e] == comp[a]).all():
+                continue
+            inner = np.arange(a, e)[ids[a:e] != rep[a]]  # the representative was compared with all
+            for n, k in enumerate(inner[:-1].tolist()):
+                other = inner[n + 1:]
+                other = other[comp[other] != comp[k]]
+                if len(other):
+                    other = other[_may_be_similar(cells[k], size[k], cells[other], size[other])]
+                    pairs += [(min(x), max(x)) for x in zip([ids[k].item()] * len(other), ids[other].tolist())]
+        fresh = [x for x in dict.fromkeys(pairs) if x not in known]
+        if len(known) > 100_000:
+            known.clear()
+        known.update(fresh)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), pa.array([x for _, x in fresh], pa.int64())], names=["rep", "id"])
 
-def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cells = [np.minimum(np.bincount((shingle_set(words_of(t)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
-                 for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, pa.binary())], names=["id", "cells"])
+        if not batch.num_rows:
+            continue
+        sig = batch.column("sig").to_numpy()
+        last = int(np.searchsorted(sig == sig[-1], True)) if sig[0] != sig[-1] else 0
+        if last or (held and held[-1].column("sig")[-1].as_py() != sig[0]):  # a bucket ends in this batch
+            if last:
+                held.append(batch.slice(0, last))
+            yield compared(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield compared(pa.Table.from_batches(held))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(docs.mapInArrow(_describe, "doc_id long, key binary, n_shingles long"), "sizes")
+    rows = stored(docs.mapInArrow(_describe, "doc_id long, key binary, n_shingles long, cells binary"), "sizes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     groups = max(1, -(-total // (2 * GROUP_SIGNATURES)))
     packed = docs.mapInArrow(_pack(groups), "part int, sigs binary, ids binary")
-    buckets = stored(packed.groupBy("part").applyInPandas(_buckets, "sig long, rep long, ids array<long>"), "buckets")
+    buckets = packed.groupBy("part").applyInPandas(_buckets, "sig long, rep long, ids array<long>")
+    buckets = buckets.groupBy(F.xxhash64("ids").alias("mark")).agg(F.first("sig").alias("sig"), F.first("rep").alias("rep"), F.first("ids").alias("ids"))
+    buckets = stored(buckets.drop("mark"), "buckets")
     member = buckets.select("sig", "rep", F.size("ids").alias("n"), F.explode("ids").alias("id"))
-    star = member.where(F.col("id") != F.col("rep")).select("rep", "id")
-    links = _links(star, docs)
+    links = _possible_links(member.where(F.col("id") != F.col("rep")).select("rep", "id"), rows, docs)
 
-    classes = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
+    classes = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "key")
     first = classes.groupBy("key").agg(F.min("doc_id").alias("first"))
     same = classes.join(first, "key").where(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     known = same.unionByName(links)
-    found = stored(components(known), "components")
-
-    sizes = classes.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).withColumnRenamed("doc_id", "id")
-    open_ = member.where(F.col("n") > 2).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = open_.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    open_ = stored(open_.join(mixed, "sig", "left_semi"), "open")
-    if not open_.isEmpty():
-        wanted = open_.select(F.col("id").alias("doc_id")).distinct()
-        cells = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_histograms, "id long, cells binary")
-        rest = (open_.join(sizes, "id").join(cells, "id").select("sig", "rep", "id", "component", "n_shingles", "cells")
-                .groupBy("sig").applyInPandas(_left_over, "rep long, id long"))
-        found = stored(components(known.unionByName(_links(rest, docs))), "components")
+    found = components(known)
+
+    facts = rows.select(F.col("doc_id").alias("id"), "n_shingles", "cells")
+    rest = (member.where(F.col("n") > 2).join(found, "id", "left").join(facts, "id")
+            .select("sig", "rep", "id", F.coalesce("component", "id").alias("component"), "n_shingles", "cells"))
+    rest = stored(rest.repartition("sig").sortWithinPartitions("sig").mapInArrow(_left_over, "rep long, id long").distinct(), "rest")
+    if not rest.isEmpty():
+        found = components(known.unionByName(_dense_links(rest, rows, docs)))
     return (rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))

@@ -1,9 +1,10 @@
 """Exact nearest neighbours by cosine over an inverted index with block maxima.
 
-Examples are ordered (similar ones next to each other) and cut into blocks. Each term has its postings by
-block and, for every block, the largest weight in it. The sum of a query's weights times these maxima
-bounds what any example of a block can score; blocks are opened in order of their bounds until no bound
-exceeds the k-th best score found, so the result is that of comparing with all examples.
+Examples are ordered (similar ones next to each other) and cut into blocks. Each term has a cell for every
+block that holds it, with its postings there and the largest weight among them. The sum of a query's weights
+times these maxima bounds what any example of a block can score; blocks are opened in order of their bounds,
+more at a time as it goes on, until no bound exceeds the k-th best score found, so the result is that of
+comparing with all examples. Only cells that hold something take room.
 """
 
 from __future__ import annotations
@@ -13,36 +14,62 @@ import numpy as np
 BLOCK = 64
 
 
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
+
+
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of all runs of length ``n``, one after another."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+
 class BlockMaxIndex:
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK) -> None:
-        """``vectors``: unit vectors as term to weight, none empty."""
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i].items(), key=lambda x: -x[1])[:3], i)), np.int64)
-        self.block, self.n = block, len(vectors)
-        n_blocks = max(1, -(-self.n // block))
-        post = sorted((t, place // block, place % block, vectors[i][t]) for place, i in enumerate(self.order.tolist()) for t in vectors[i])
-        key = np.array([t * n_blocks + b for t, b, _, _ in post], np.int64)
-        self.slot = np.array([s for *_, s, _ in post], np.int64)
-        self.weight = np.array([w for *_, w in post])
-        self.edge = np.searchsorted(key, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.n_blocks = n_blocks
-        self.most = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.most.reshape(-1), key, self.weight)
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK) -> None:
+        """``vectors``: unit vectors as term to weight, or terms and weights, none empty."""
+        pairs = [(np.array(list(v), np.int64), np.array(list(v.values()))) if isinstance(v, dict) else v for v in vectors]
+        lead = [[(int(t[j]), float(w[j])) for j in np.argsort(-w, kind="stable")[:3]] for t, w in pairs]
+        self.order = np.array(sorted(range(len(pairs)), key=lambda i: (lead[i], i)), np.int64)
+        self.block, self.n = block, len(pairs)
+        self.n_blocks = max(1, -(-self.n // block))
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        place = np.repeat(place, [len(t) for t, _ in pairs])
+        terms = np.concatenate([t for t, _ in pairs])
+        sort = np.lexsort((place, terms))
+        key = (terms * self.n_blocks + place // block)[sort]
+        self.slot = (place % block)[sort].astype(np.int32)
+        self.weight = np.concatenate([w for _, w in pairs])[sort]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        self.most = np.maximum.reduceat(self.weight, start)
+        self.block_of = (key[start] % self.n_blocks).astype(np.int32)
+        self.edge = np.searchsorted(key[start] // self.n_blocks, np.arange(n_terms + 1))
+        self.first = np.append(start, len(key))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` most similar examples with a positive similarity; ties to the earlier example."""
-        bounds = weights @ self.most[terms]
+        n = self.edge[terms + 1] - self.edge[terms]
+        cells, weights = _spans(self.edge[terms], n), np.repeat(weights, n)
+        blocks = self.block_of[cells]
+        bounds = np.bincount(blocks, weights * self.most[cells], self.n_blocks)
+        sort = np.argsort(blocks, kind="stable")
+        cells, weights = cells[sort], weights[sort]
+        cut = np.searchsorted(blocks[sort], np.arange(self.n_blocks + 1))
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best_s) == k and bounds[b] < best_s[-1] - 1e-12):
+        todo, at, step = np.argsort(-bounds, kind="stable"), 0, 1
+        while at < len(todo):
+            some = todo[at:at + step]
+            some = some[(bounds[some] > 0) & ((len(best_s) < k) | (bounds[some] >= (best_s[-1] if len(best_s) else 0) - 1e-12))]
+            if not len(some):
                 break
-            at = terms * self.n_blocks + b
-            lo, hi = self.edge[at], self.edge[at + 1]
-            n = hi - lo
-            span = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            scores = np.bincount(self.slot[span], self.weight[span] * np.repeat(weights, n), self.block)
+            held = cut[some + 1] - cut[some]
+            mine = _spans(cut[some], held)
+            n = self.first[cells[mine] + 1] - self.first[cells[mine]]
+            span = _spans(self.first[cells[mine]], n)
+            slot = self.slot[span] + np.repeat(np.repeat(np.arange(len(some)) * self.block, held), n)
+            scores = np.bincount(slot, self.weight[span] * np.repeat(weights[mine], n), len(some) * self.block)
             hit = np.flatnonzero(scores > 0)
-            ids = np.concatenate((best_i, self.order[b * self.block + hit]))
+            ids = np.concatenate((best_i, self.order[some[hit // self.block] * self.block + hit % self.block]))
             sims = np.concatenate((best_s, scores[hit]))
             keep = np.lexsort((ids, -sims.round(12)))[:k]
             best_i, best_s = ids[keep], sims[keep]
+            at, step = at + step, 2 * step
         return best_i, best_s

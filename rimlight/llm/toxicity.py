@@ -1,23 +1,26 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are lower-cased words, the first four to six letters of longer ones, and marks for beginnings that
-two or three different words of a text share (insults come in families). The vocabulary holds the terms whose
-occurrence depends on the label (G-test on the labelled sample above ``MIN_G``). Document frequencies are
-counted over all documents. Examples are the labelled sample's documents that hold a term, kept in a
-block-max inverted index (``blockmax``); each text finds its ``NEIGHBOURS`` nearest examples exactly. Their
-labels vote with the cosine, weighted so that the sample's shares are those of all labels, and a
-monotone calibration fitted on leave-one-out votes turns votes into probabilities.
+two or three different words of a text share (insults come in families). All terms count, none is chosen: a
+term's weight is (1 + ln tf) * idf * sqrt(G), with G the statistic of its two-by-two table with the label in
+the labelled sample. The cosine does not change with the scale of G, so the size of the input is no switch;
+terms that the label does not depend on weigh next to nothing, those that no sampled text has have no G and
+meet no example. Document frequencies are counted over all documents. Examples are the labelled sample's
+documents, kept in a block-max inverted index (``blockmax``); each text finds its ``NEIGHBOURS`` nearest
+examples exactly. Their labels vote with the cosine, weighted so that the sample's shares are those of all
+labels, and a monotone calibration fitted on leave-one-out votes turns votes into probabilities.
 
 The sample is bounded by ``PER_LABEL`` documents of either label, the index by ``EXAMPLES`` of either.
 
-Cases: a text without any term, an empty or null one as well, gets the share of label 1 among sampled
-texts without terms; without labels every score is 0.5 below the threshold's side, that is 0; several
+Cases: a text without any term of the sample, an empty or null one as well, gets the share of label 1 among
+sampled texts without terms; without labels every score is 0.5 below the threshold's side, that is 0; several
 labels of a document count as 1 if any is 1; null ids teach nothing; rows are answered one by one.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,10 +38,11 @@ BEGINNINGS = (4, 5, 6)
 FAMILY = (2, 3)
 PER_LABEL = 6_000
 EXAMPLES = 2_000
-MIN_G = 60.0
 NEIGHBOURS = 25
 #: Different terms counted in one go before they are handed on.
 HELD_TERMS = 200_000
+#: Answers a worker keeps for copies of a text.
+HELD_ANSWERS = 2_000
 
 
 def term_counts(text: str | None, wanted: set[str] | None = None) -> Counter:
@@ -77,19 +81,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def vocabulary(sampled: DataFrame, n_ones: int, n_zeros: int) -> list[str]:
-    """Terms that tell the labels apart, by the G statistic of their two-by-two table, in order."""
+def vocabulary(sampled: DataFrame, n_ones: int, n_zeros: int) -> tuple[list[str], np.ndarray]:
+    """All terms of the sample in order, and the G statistic of each one's two-by-two table with the label."""
     total = sampled.select("text", "label").mapInArrow(_counted, "term string, ones long, zeros long").groupBy("term").agg(
-        F.sum("ones").alias("a"), F.sum("zeros").alias("b"))
+        F.sum("ones").alias("a"), F.sum("zeros").alias("b")).toArrow().sort_by("term")
+    a, b = (total.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    share = (a + b) / max(1, n_ones + n_zeros)
 
-    def part(seen, rows, share):
-        return F.when(seen > 0, seen * F.log(seen / (rows * share))).otherwise(0.0)
+    def part(seen: np.ndarray, rows: int, share: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, rows * share, 1))
 
-    n = n_ones + n_zeros
-    share = (F.col("a") + F.col("b")) / n
-    g = 2 * (part(F.col("a"), F.lit(n_ones), share) + part(F.col("b"), F.lit(n_zeros), share)
-             + part(n_ones - F.col("a"), F.lit(n_ones), 1 - share) + part(n_zeros - F.col("b"), F.lit(n_zeros), 1 - share))
-    return [r["term"] for r in total.where(g >= MIN_G).select("term").orderBy("term").collect()]
+    g = 2 * (part(a, n_ones, share) + part(b, n_zeros, share) + part(n_ones - a, n_ones, 1 - share) + part(n_zeros - b, n_zeros, 1 - share))
+    return total.column("term").to_pylist(), np.where(g > 1e-9, g, 0.0)
 
 
 def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -100,13 +103,25 @@ def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
         index = number.value
         wanted = {t.split("-")[0] for t in index if "-" in t}
         for batch in batches:
-            rows = [sorted((index[t], n) for t, n in term_counts(text, wanted).items() if t in index) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int32())),
-                                              pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
+            ends, found, counts = [0], array("i"), array("i")
+            for text in batch.column("text").to_pylist():
+                row = sorted((index[t], n) for t, n in term_counts(text, wanted).items() if t in index)
+                found.extend(t for t, _ in row)
+                counts.extend(n for _, n in row)
+                ends.append(len(found))
+            edges = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, pa.array(np.frombuffer(x, np.int32) if x else [], pa.int32())) for x in (found, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "counts"])
 
     return docs.mapInArrow(encode, "doc_id long, terms array<int>, counts array<int>")
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of integer lists."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    return [values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def _document_frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """Documents with each term, summed up within the tasks first, and the number of documents."""
 
@@ -118,18 +133,18 @@ def _document_frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "n"])
 
     df = np.zeros(n_terms + 1)
-    for r in encoded.select("terms").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
+    sums = encoded.select("terms").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     return df[:n_terms], int(df[n_terms])
 
 
 class Voter:
     """The fitted model: weights of terms, the index of examples, their votes and the calibration."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], share: dict[int, float]) -> None:
-        self.idf = idf
-        full = [e for e in examples if e[1]]
-        bare = [e[3] for e in examples if not e[1]]
+    def __init__(self, weight: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray, int]], share: dict[int, float]) -> None:
+        self.weight = weight
+        full = [e for e in examples if weight[e[1]].any()]
+        bare = [e[3] for e in examples if not weight[e[1]].any()]
         self.weight_of = share  # label to the weight of one of its examples
         prior = sum(share.get(e[3], 0) for e in examples if e[3]) / max(1e-9, sum(share.get(e[3], 0) for e in examples))
         ones, zeros = sum(y == 1 for y in bare), sum(y == 0 for y in bare)
@@ -138,20 +153,20 @@ class Voter:
         chosen: list[tuple] = []
         for label in (0, 1):
             chosen += [e for e in full if e[3] == label][:EXAMPLES]
-        chosen.sort()
+        chosen.sort(key=lambda e: e[0])
         self.ids = np.array([e[0] for e in chosen], np.int64)
         self.labels = np.array([e[3] for e in chosen], np.int64)
         used = {y: max(1, int((self.labels == y).sum())) for y in (0, 1)}
         kept = {y: sum(1 for e in full if e[3] == y) for y in (0, 1)}
         self.vote = np.array([share[y] * kept[y] / used[y] for y in self.labels.tolist()])
         vectors = [self.vector(e[1], e[2]) for e in chosen]
-        self.index = BlockMaxIndex([dict(zip(t.tolist(), w.tolist())) for t, w in vectors], len(idf)) if chosen else None
+        self.index = BlockMaxIndex(vectors, len(weight)) if chosen else None
         raw = np.array([self._votes(t, w, skip=i)[0] for i, (t, w) in enumerate(vectors)])
         self.calibrated = labelled.Calibration(raw, self.labels, self.vote, prior)
 
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(terms, np.int64)
-        w = (1 + np.log(np.array(counts, float))) * self.idf[t]
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        t, w = terms[w > 0].astype(np.int64), w[w > 0]
         return t, w / np.sqrt((w * w).sum())
 
     def _votes(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -161,8 +176,8 @@ class Voter:
         power = sim * self.vote[at]
         return (float((power * self.labels[at]).sum() / power.sum()) if len(at) else 0.0), at, sim
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
-        if not terms or self.index is None:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
+        if self.index is None or not self.weight[terms].any():
             return float(self.bare), []
         raw, at, sim = self._votes(*self.vector(terms, counts))
         evidence = [{"doc_id": int(self.ids[i]), "similarity": float(s), "label": int(self.labels[i])} for i, s in zip(at, sim)]
@@ -175,23 +190,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     rows, counts = labelled.label_counts(labels, label)
     sampled = stored(labelled.sample(docs, rows, counts, PER_LABEL), "labelled")
     have = {r["label"]: r["n"] for r in sampled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    terms = vocabulary(sampled, have.get(1, 0), have.get(0, 0)) if have else []
+    terms, g = vocabulary(sampled, have.get(1, 0), have.get(0, 0))
     encoded = stored(_with_terms(docs, terms), "terms")
     df, n_docs = _document_frequencies(encoded, len(terms))
-    idf = np.log((n_docs + 1) / (df + 1)) + 1e-3
-    examples = _with_terms(sampled.select("doc_id", "text"), terms).join(sampled.select("doc_id", "label"), "doc_id")
+    weight = (np.log((n_docs + 1) / (df + 1)) + 1e-3) * np.sqrt(g)
+    examples = _with_terms(sampled.select("doc_id", "text"), terms).join(sampled.select("doc_id", "label"), "doc_id").toArrow().sort_by("doc_id").combine_chunks()
+    rows = zip(examples.column("doc_id").to_pylist(), *(_lists(examples.column(c).combine_chunks()) for c in ("terms", "counts")), examples.column("label").to_pylist())
     share = {y: counts[y] / n for y, n in have.items()}
-    voter = Voter(idf, sorted((r["doc_id"], r["terms"], r["counts"], r["label"]) for r in examples.collect()), share)
+    voter = Voter(weight, list(rows), share)
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}
         for batch in batches:
             out = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(t), tuple(c))
+            for t, c in zip(_lists(batch.column("terms")), _lists(batch.column("counts"))):
+                key = t.tobytes() + c.tobytes()
                 if key not in known:
-                    if len(known) > 20_000:
+                    if len(known) >= HELD_ANSWERS:
                         known.clear()
                     known[key] = model.score(t, c)
                 out.append(known[key])

@@ -128,6 +128,15 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), marks).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_toxic_documents_are_found_at_any_size(spark, sf):
+    docs, marks = (spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet") for name in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in marks.where(labelled.held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").collect()}
+    said = {r.doc_id: r.score >= 0.5 for r in toxicity.score_toxicity(docs, marks).select("doc_id", "score").collect()}
+    assert np.mean([said[i] for i, y in truth.items() if y]) >= 0.9
+    assert np.mean([said[i] for i, y in truth.items() if not y]) <= 0.02
+
+
 def test_quality(spark):
     rng = random.Random(4)
     docs, labels = [], []

@@ -41,8 +41,8 @@ EXAMPLES = 2_000
 NEIGHBOURS = 25
 #: Different terms counted in one go before they are handed on.
 HELD_TERMS = 200_000
-#: Answers a worker keeps for copies of a text.
-HELD_ANSWERS = 2_000
+#: Texts whose common terms are multiplied in one go.
+AT_ONCE = 64
 
 
 def term_counts(text: str | None, wanted: set[str] | None = None) -> Counter:
@@ -161,7 +161,7 @@ class Voter:
         self.vote = np.array([share[y] * kept[y] / used[y] for y in self.labels.tolist()])
         vectors = [self.vector(e[1], e[2]) for e in chosen]
         self.index = BlockMaxIndex(vectors, len(weight)) if chosen else None
-        raw = np.array([self._votes(t, w, skip=i)[0] for i, (t, w) in enumerate(vectors)])
+        raw = np.array([v[0] for v in self._votes(vectors, leave_out=True)])
         self.calibrated = labelled.Calibration(raw, self.labels, self.vote, prior)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,19 +169,25 @@ class Voter:
         t, w = terms[w > 0].astype(np.int64), w[w > 0]
         return t, w / np.sqrt((w * w).sum())
 
-    def _votes(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        at, sim = self.index.nearest(terms, weights, NEIGHBOURS + (skip >= 0))
-        if skip >= 0:
-            at, sim = at[at != skip][:NEIGHBOURS], sim[at != skip][:NEIGHBOURS]
-        power = sim * self.vote[at]
-        return (float((power * self.labels[at]).sum() / power.sum()) if len(at) else 0.0), at, sim
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[dict]]:
-        if self.index is None or not self.weight[terms].any():
-            return float(self.bare), []
-        raw, at, sim = self._votes(*self.vector(terms, counts))
-        evidence = [{"doc_id": int(self.ids[i]), "similarity": float(s), "label": int(self.labels[i])} for i, s in zip(at, sim)]
-        return float(self.calibrated(np.array([raw]))[0]), evidence
+    def _votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], leave_out: bool = False) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of label 1 among the neighbours, and these; ``leave_out`` if the vectors are the examples themselves."""
+        for first in range(0, len(vectors), AT_ONCE):
+            some = vectors[first:first + AT_ONCE]
+            for i, (vector, base) in enumerate(zip(some, self.index.common_scores(some)), first):
+                at, sim = self.index.nearest(*vector, NEIGHBOURS + leave_out, base)
+                if leave_out:
+                    at, sim = at[at != i][:NEIGHBOURS], sim[at != i][:NEIGHBOURS]
+                power = sim * self.vote[at]
+                yield (float((power * self.labels[at]).sum() / power.sum()) if len(at) else 0.0), at, sim
+
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[dict]]]:
+        """Score and evidence of texts, given by their terms and counts."""
+        full = [i for i, (terms, _) in enumerate(rows) if self.index is not None and self.weight[terms].any()]
+        out: list[tuple[float, list[dict]]] = [(float(self.bare), [])] * len(rows)
+        for i, (raw, at, sim) in zip(full, self._votes([self.vector(*rows[i]) for i in full])):
+            evidence = [{"doc_id": d, "similarity": s, "label": y} for d, s, y in zip(self.ids[at].tolist(), sim.tolist(), self.labels[at].tolist())]
+            out[i] = float(self.calibrated(np.array([raw]))[0]), evidence
+        return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -201,16 +207,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
         for batch in batches:
-            out = []
-            for t, c in zip(_lists(batch.column("terms")), _lists(batch.column("counts"))):
-                key = t.tobytes() + c.tobytes()
-                if key not in known:
-                    if len(known) >= HELD_ANSWERS:
-                        known.clear()
-                    known[key] = model.score(t, c)
-                out.append(known[key])
+            rows = list(zip(_lists(batch.column("terms")), _lists(batch.column("counts"))))
+            keys = [t.tobytes() + c.tobytes() for t, c in rows]
+            known = dict(zip(keys, rows))  # copies of a text are answered once
+            known = dict(zip(known, model.scores(list(known.values()))))
+            out = [known[key] for key in keys]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], EVIDENCE)],
                 names=["doc_id", "score", "evidence"])

@@ -10,7 +10,7 @@ force (one pass over the vectors), and the window is the one that ``RECALL`` of
 So data without structure gets a wide window and stays correct, and clustered data a narrow one.
 
 Equal vectors are one point of the index and carry the ``k`` + 1 smallest of their ids: exactly those that a
-result of ``k`` can need. Curves are cut into blocks of ``BLOCK`` ranks, and queries are sent to the blocks in
+result of ``k`` can need. Points are ordered by (distance, smallest id) wherever some are kept. Curves are cut into blocks of ``BLOCK`` ranks, and queries are sent to the blocks in
 their window, so a task never holds more than a block and a bounded number of queries.
 
 Cases: vectors that are null, zero or hold null or non-finite components, rows without an id, and vectors of
@@ -171,19 +171,19 @@ def true_neighbours(index: DataFrame, queries: list[tuple[int, int, bytes]], k:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _decoded(batch.column("point"), width)
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            a, b, least = (batch.column(c).to_numpy() for c in ("a", "b", "least"))
             out = []
             for q, (qa, qb, _) in enumerate(queries):
                 d = _distances(asked[q], rows)
                 d[(a == qa) & (b == qb)] = np.inf
-                for i in np.argsort(d, kind="stable")[:k]:
+                for i in np.lexsort((least, d))[:k]:
                     if d[i] < np.inf:
-                        out.append((q, int(a[i]), int(b[i]), float(d[i])))
-            yield pa.RecordBatch.from_pylist([dict(zip(("q", "a", "b", "d"), r)) for r in out],
-                                             schema=pa.schema([("q", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())]))
+                        out.append((q, int(a[i]), int(b[i]), int(least[i]), float(d[i])))
+            yield pa.RecordBatch.from_pylist([dict(zip(("q", "a", "b", "least", "d"), r)) for r in out],
+                                             schema=pa.schema([("q", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "least")), ("d", pa.float64())]))
 
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "a", "b"))
-    rows = index.select("a", "b", "point").mapInArrow(nearest, "q int, a long, b long, d double").withColumn("n", rank).where(F.col("n") <= k).collect()
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "least", "a", "b"))
+    rows = index.select("a", "b", F.element_at("ids", 1).alias("least"), "point").mapInArrow(nearest, "q int, a long, b long, least long, d double").withColumn("n", rank).where(F.col("n") <= k).collect()
     return [(*queries[r["q"]][:2], r["a"], r["b"], r["d"]) for r in rows]
 
 
@@ -200,23 +200,30 @@ def measured_window(index: DataFrame, ranks: DataFrame, asked: DataFrame, k: int
     return max(LEAST_WINDOW, apart[min(len(apart) - 1, int(np.ceil(RECALL * len(apart))))])
 
 
+def _first_choice(q: np.ndarray, body: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Rows that can be among the ``n`` nearest: all whose expanded distance is within rounding of the n-th, ties included."""
+    qq = q @ q
+    rough = own - 2 * (body @ q) + qq
+    error = 4 * (len(q) + 4) * np.finfo(float).eps * (own + 2 * np.sqrt(own) * np.sqrt(qq) + qq)
+    return np.flatnonzero(~(rough - error > np.partition(rough + error, n - 1)[n - 1]))  # what overflowed stays
+
+
 def _compare(window: int, width: int, k: int):
     def compare(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asked):
             body = np.frombuffer(b"".join(rows["point"]), "<f8").reshape(-1, width)
             own = (body * body).sum(axis=1)
-            rank, a, b = (rows[c].to_numpy() for c in ("rank", "a", "b"))
+            rank, a, b, least = (rows[c].to_numpy() for c in ("rank", "a", "b", "least"))
             for qr, qa, qb, qp in zip(asked["rank"], asked["a"], asked["b"], asked["point"]):
                 near = np.flatnonzero(np.abs(rank - qr) <= window)
                 q = np.frombuffer(qp, "<f8")
-                if len(near) > 4 * k:  # a first choice by the fast formula, wide enough for its rounding
-                    rough = own[near] - 2 * (body[near] @ q)
-                    near = near[np.argpartition(rough, 3 * k)[:3 * k + 1]]
+                if len(near) > k + 1:
+                    near = near[_first_choice(q, body[near], own[near], k + 1)]
                 d = _distances(q, body[near])
-                for i in np.lexsort((b[near], a[near], d))[:k + 1]:
-                    out.append((qa, qb, a[near[i]], b[near[i]], d[i]))
-        return pd.DataFrame(out, columns=["qa", "qb", "a", "b", "score"])
+                for i in np.lexsort((b[near], a[near], least[near], d))[:k + 1]:
+                    out.append((qa, qb, a[near[i]], b[near[i]], least[near[i]], d[i]))
+        return pd.DataFrame(out, columns=["qa", "qb", "a", "b", "least", "score"])
 
     return compare
 
@@ -231,16 +238,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vector: str = "em
     n_asked, n_points = asked.count(), max(1, index.count())
     shares = max(1, -(-(2 * window + BLOCK) * n_asked // (n_points * QUERIES_PER_GROUP)))
     body = index.select("a", "b", "point")
-    here = (ranks.join(body, ["a", "b"]).withColumn("block", F.floor(F.col("rank") / BLOCK))
+    here = (ranks.join(index.select("a", "b", F.element_at("ids", 1).alias("least"), "point"), ["a", "b"]).withColumn("block", F.floor(F.col("rank") / BLOCK))
             .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))))
     sent = (stored(ranks.join(asked, ["a", "b"], "left_semi").join(body, ["a", "b"]), "sent")
             .withColumn("share", F.pmod(F.xxhash64("a", "b"), F.lit(shares)).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / BLOCK), F.floor((F.col("rank") + window) / BLOCK)))))
     key = ["curve", "block", "share"]
     found = (here.groupBy(*key).cogroup(sent.groupBy(*key))
-             .applyInPandas(_compare(window, width, k), "qa long, qb long, a long, b long, score double")
+             .applyInPandas(_compare(window, width, k), "qa long, qb long, a long, b long, least long, score double")
              .dropDuplicates(["qa", "qb", "a", "b"]))
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("qa", "qb").orderBy("score", "a", "b"))).where(F.col("n") <= k + 1).drop("n")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("qa", "qb").orderBy("score", "least", "a", "b"))).where(F.col("n") <= k + 1).drop("n", "least")
     ids = best.join(index.select("a", "b", "ids"), ["a", "b"]).select("qa", "qb", "score", F.explode("ids").alias("vec_id"))
     merged = (queries.select(F.col("vec_id").alias("query_id"), F.col("a").alias("qa"), F.col("b").alias("qb")).distinct()
               .join(ids, ["qa", "qb"]).where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))

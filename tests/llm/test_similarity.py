@@ -152,6 +152,26 @@ def test_nearest_neighbours(spark):
     assert hit >= 0.9 * 10 * len(found)
 
 
+def test_ties_go_to_the_smaller_id(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_ann, "LEAST_WINDOW", 1000)  # all are candidates
+    df = spark.createDataFrame([(i, [float(j == i % 60) for j in range(60)]) for i in range(120)], "vec_id long, embedding array<double>")
+    for q in (0, 100):
+        got = sorted((r.rank, r.vec_id) for r in hilbert_ann.nearest(df, F.col("vec_id") == q).collect())
+        twin = (q + 60) % 120
+        assert [i for _, i in got] == [twin, *[i for i in range(12) if i not in (q, twin)][:9]]
+
+
+def test_first_choice_keeps_ties_and_what_drowns_in_rounding():
+    rng = np.random.default_rng(4)
+    for offset, unit in ((0.0, 1.0), (1e7, 2.0 ** -20)):
+        body = offset + unit * rng.integers(0, 4, (400, 16))
+        d = hilbert_ann._distances(body[0], body)
+        kept = hilbert_ann._first_choice(body[0], body, (body * body).sum(axis=1), 11)
+        assert set(np.flatnonzero(d <= np.sort(d)[10])) <= set(kept)
+    body = rng.normal(size=(400, 16))
+    assert len(hilbert_ann._first_choice(body[0], body, (body * body).sum(axis=1), 11)) == 11
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.0]), (3, [5.0, 2.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in hilbert_ann.nearest(df, F.col("vec_id") % 100 == 0).collect())

@@ -34,7 +34,7 @@ def _new(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words are mostly of one learned language."""
+    """Documents whose words are of learned languages, of one or of several."""
     ready(spark)
     return langid.keep_known(docs, langid.fit(docs))
 

@@ -86,6 +86,7 @@ def predict(docs: DataFrame, model: crf.Field | None, text: str = "text", lang:
 
 
 def classify(model: crf.Field | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The label with the largest expected number of words, and that number as a share of the words."""
     names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
     split = [crf.words(t) for t in texts]
     full = [i for i, ws in enumerate(split) if ws]
@@ -99,10 +100,9 @@ def classify(model: crf.Field | None, texts: list[str | None]) -> tuple[list[str
     return names, shares
 
 
-def keep_known(docs: DataFrame, model: crf.Field | None, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents whose language is known and has at least ``least`` of their words; columns as they were."""
+def keep_known(docs: DataFrame, model: crf.Field | None, text: str = "text") -> DataFrame:
+    """The documents with a known language, in however many languages their words are; columns as they were."""
     lang, score = "lang_pred", "score"
     while {lang, score} & set(docs.columns):
         lang, score = lang + "_", score + "_"
-    found = predict(docs, model, text, lang, score)
-    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
+    return predict(docs, model, text, lang, score).where(F.col(lang) != UNKNOWN).drop(lang, score)

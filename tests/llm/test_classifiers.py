@@ -63,6 +63,16 @@ def test_language_of_held_out_documents(spark):
     assert kept.columns == df.columns and not {9000, 9001, 9002} & {r.doc_id for r in kept.collect()} and kept.count() > 590
 
 
+def test_documents_in_several_languages_are_kept(spark):
+    docs = language_docs()
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    long = {lang: " ".join(t for _, t, x in docs if x == lang).split() for lang in ("en", "de", "fr")}
+    mixed = [(1, " ".join(long["en"][:40] + long["de"][:30] + long["fr"][:30])), (2, " ".join(long["de"][:34] + long["fr"][:33] + long["en"][:33])), (3, "12 !!")]
+    df = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert all(r.score < 0.5 for r in langid.predict(df, model).collect())
+    assert sorted(r.doc_id for r in langid.keep_known(df, model).collect()) == [1, 2]
+
+
 def test_language_without_anything_to_learn(spark):
     df = spark.createDataFrame([(1, "text", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.fit(df)

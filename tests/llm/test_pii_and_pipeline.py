@@ -122,6 +122,16 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["token_ids"])
 
 
+def test_the_language_stage_keeps_evenly_mixed_documents(spark, tmp_path):
+    rng = random.Random(5)
+    parts = {"en": "th er ing and the on".split(), "de": "sch ung der ein ch keit".split(), "fr": "eau que le ment ais ou".split()}
+    words = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    docs = [(i, words(lang, 40), lang) for i in range(300) for lang in [list(parts)[i % 3]]]
+    docs += [(1000, " ".join(words(lang, 33) for lang in parts), None), (1001, f"{words('en', 40)} {words('de', 30)} {words('fr', 30)}", None), (1002, "12 !!", None)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {1002}
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_of_nothing(spark, tmp_path, name, stage):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -2,11 +2,13 @@
 
 Base findings are e-mail addresses, IP addresses, card numbers and phone numbers, by pattern and check.
 A term's disclosure of a protected entity (one address, one number) is measured over the corpus. Counted
-in distinct texts, with e the entity, t a term in its neighbourhood (some ``CONTEXT`` characters on either
-side), PMI(e, t) = ln(n_et * N / (n_e * n_t)), and the entity's information content is IC(e) = ln(N / n_e). A
+in distinct texts, with e the entity, t a term anywhere in a text that holds e, a word of any length,
+PMI(e, t) = ln(n_et * N / (n_e * n_t)), and the entity's information content is IC(e) = ln(N / n_e). A
 term whose PMI reaches ``DISCLOSURE`` of IC leaves almost nothing of the entity unknown. Pairs count only if
-they were seen in ``MIN_CONTEXTS`` different neighbourhoods, so copies of one text prove nothing. Such
-terms are found wherever they occur, and ``sanitised`` generalises them to the name of their class.
+they were seen with ``MIN_CONTEXTS`` different neighbourhoods of the entity (``CONTEXT`` characters on either
+side), so copies of one text prove nothing: a text counts as one of its entity's neighbourhoods for all of its
+terms, and as each of them for the terms within it. Such terms are found wherever they occur, and
+``sanitised`` generalises them to the name of their class.
 
 Everything is DataFrame functions: positions come from the gaps that the matches leave, counts from
 grouped aggregates, and terms meet documents by equality joins on (document, text hash).
@@ -27,7 +29,7 @@ TERM = "term"
 CONTEXT = 80
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.9
-TERM_WORD = r"\p{L}{4,}"
+TERM_WORD = r"\p{L}+"
 SPAN = "array<struct<start: int, rank: int, kind: string, end: int, value: string>>"
 
 # The patterns are those of the contract, written so that a search never starts twice in one run of
@@ -99,7 +101,16 @@ def _contexts(text: Column, span: Column) -> Column:
     """The distinct terms around a span, words with digits or signs of addresses left out."""
     before = F.regexp_replace(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))), r"^\S*+", "")
     after = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(CONTEXT)), r"\S++$", "")
-    return F.lower(F.regexp_replace(F.concat_ws(" ", before, after), r"\S*[@0-9]\S*", " "))
+    return _plain(F.concat_ws(" ", before, after))
+
+
+def _plain(text: Column) -> Column:
+    """Lower-case, words with digits or signs of addresses left out."""
+    return F.lower(F.regexp_replace(text, r"(?<!\S)[^\s@0-9]*+[@0-9]\S*+", " "))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM_WORD), F.lit(0)))
 
 
 def find_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -119,20 +130,27 @@ def find_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 def disclosing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``doc_id``, ``h``, ``term``, ``share``: where a term occurs that gives an entity away, and how much of it."""
     near = (found.where(F.size("contexts") > 0).select("h", F.explode("contexts").alias("c"))
-            .select("h", "c.entity", F.xxhash64("c.near").alias("near"), F.array_distinct(F.regexp_extract_all(F.col("c.near"), F.lit(TERM_WORD), F.lit(0))).alias("terms")))
+            .select("h", "c.entity", F.xxhash64("c.near").alias("near"), _terms(F.col("c.near")).alias("terms")))
     entities = near.groupBy("entity").agg(F.countDistinct("near").alias("places"), F.countDistinct("h").alias("n_e")).where(F.col("places") >= MIN_CONTEXTS)
-    pairs = (near.join(entities.select("entity"), "entity", "left_semi").select("entity", "near", "h", F.explode("terms").alias("term"))
-             .groupBy("entity", "term").agg(F.countDistinct("near").alias("places"), F.countDistinct("h").alias("n_et")).where(F.col("places") >= MIN_CONTEXTS))
-    # neighbourhoods alone bound a term's count from below, and so its PMI from above: common words go here
-    n = found.agg(F.countDistinct("h")).first()[0]
-    seen = near.select("h", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("h").alias("n_near"))
-    pairs = pairs.join(entities.select("entity", "n_e"), "entity").join(seen, "term").where(_share(n, "n_near") >= DISCLOSURE)
+    near = stored(near.join(entities.select("entity", "n_e"), "entity"), "near")
+    n, most = found.agg(F.countDistinct("h")).first()[0], near.agg(F.max("n_e")).first()[0] or 0
+    inside = near.select("entity", "n_e", "h", "near", F.explode("terms").alias("term"))
+    texts = rows.join(near.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    held = stored(texts.select("h", F.explode(_terms(_plain(F.col("text")))).alias("term")).unionByName(inside.select("h", "term")).distinct(), "held")
+    # these texts alone bound a term's count from below, and so its PMI from above: common words go here
+    limit = float(n) ** (1 - DISCLOSURE) * float(most) ** DISCLOSURE * (1 + 1e-9)
+    seen = stored(held.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") <= limit), "seen")
+    # a text is one neighbourhood of an entity for all of its terms
+    whole = near.groupBy("entity", "n_e", "h").agg(F.min("near").alias("near")).join(held.join(seen.select("term"), "term"), "h")
+    pairs = (whole.unionByName(inside.join(seen.select("term"), "term")).groupBy("entity", "n_e", "term")
+             .agg(F.countDistinct("near").alias("places"), F.countDistinct("h").alias("n_et")).where(F.col("places") >= MIN_CONTEXTS))
+    pairs = pairs.join(seen, "term").where(_share(n, "n_near") >= DISCLOSURE)
     pairs = stored(pairs.select("entity", "term", "n_et", "n_e"), "pairs")
     nothing = "doc_id bigint, h bigint, term string, share double"
     if pairs.isEmpty():
         return rows.sparkSession.createDataFrame([], nothing)
     terms = stored(pairs.select("term").distinct(), "terms")
-    words = rows.select("doc_id", "h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
+    words = rows.select("doc_id", "h", F.explode(_terms(F.lower("text"))).alias("term"))
     places = stored(words.join(broadcast_if_small(terms), "term"), "places")
     n_t = places.groupBy("term").agg(F.countDistinct("h").alias("n_t"))
     strong = (pairs.join(n_t, "term").withColumn("share", _share(n, "n_t"))

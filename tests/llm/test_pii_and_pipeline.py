@@ -75,6 +75,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Quixworth" not in clean and "[TERM]" in clean and "[EMAIL]" in clean
 
 
+def test_short_terms_far_from_the_entity(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in ("tor", "mal", "ven") for b in ("ani", "osto", "ulu") for c in ("rek", "dun", "sol")]
+    filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, filler(60)) for i in range(300)]
+    docs += [(400 + i, f"{filler(2)} Kim {filler(20)} kk@corp.example {filler(20)} Ostrava {filler(1)}") for i in range(5)]
+    docs += [(500, f"{filler(4)} Kim {filler(2)}"), (600, "one " + "z@corp.example alone here " * 3 + "z@corp.example zed, z@corp.example zoo")]
+    found = {(r.doc_id, s.value) for r in pii.find_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.spans if s.kind == pii.TERM}
+    # one text proves nothing about words outside of three windows in it
+    assert found - {(600, "alone"), (600, "here")} == {(400 + i, v) for i in range(5) for v in ("Kim", "Ostrava")} | {(500, "Kim")}
+
+
 def test_no_documents(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -96,7 +96,7 @@ def vocabulary(sampled: DataFrame, n_ones: int, n_zeros: int) -> tuple[list[str]
 
 
 def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """``doc_id``, and the numbers and counts of the vocabulary's terms in its whole text."""
+    """``doc_id``, and the vocabulary's terms in its whole text: steps between their rising numbers, and counts."""
     number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
             ends, found, counts = [0], array("i"), array("i")
             for text in batch.column("text").to_pylist():
                 row = sorted((index[t], n) for t, n in term_counts(text, wanted).items() if t in index)
-                found.extend(t for t, _ in row)
+                found.extend(t - before for (t, _), before in zip(row, [0, *(t for t, _ in row)]))
                 counts.extend(n for _, n in row)
                 ends.append(len(found))
             edges = pa.array(ends, pa.int32())
@@ -122,13 +122,19 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+def _encoded(batch: pa.RecordBatch | pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Term numbers and counts of the rows of ``_with_terms``."""
+    return [(np.cumsum(t), c) for t, c in zip(_lists(batch.column("terms")), _lists(batch.column("counts")))]
+
+
 def _document_frequencies(encoded: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """Documents with each term, summed up within the tasks first, and the number of documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_terms + 1, np.int64)
         for batch in batches:
-            total[:n_terms] += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+            numbers = [np.cumsum(t) for t in _lists(batch.column("terms"))]
+            total[:n_terms] += np.bincount(np.concatenate(numbers) if numbers else np.zeros(0, np.int64), minlength=n_terms)
             total[n_terms] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["term", "n"])
 
@@ -159,11 +165,25 @@ class Voter:
         used = {y: max(1, int((self.labels == y).sum())) for y in (0, 1)}
         kept = {y: sum(1 for e in full if e[3] == y) for y in (0, 1)}
         self.vote = np.array([share[y] * kept[y] / used[y] for y in self.labels.tolist()])
-        vectors = [self.vector(e[1], e[2]) for e in chosen]
+        self.examples = [(e[1], e[2].astype(np.int32)) for e in chosen]
+        vectors = [self.vector(*e) for e in self.examples]
         self.index = BlockMaxIndex(vectors, len(weight)) if chosen else None
         raw = np.array([v[0] for v in self._votes(vectors, leave_out=True)])
         self.calibrated = labelled.Calibration(raw, self.labels, self.vote, prior)
 
+    def __getstate__(self) -> dict:
+        """Workers get the examples and build the index, which is several times as large, themselves."""
+        rows = self.examples
+        flat = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int32) for i in (0, 1)]
+        return self.__dict__ | {"index": None, "examples": (np.array([len(t) for t, _ in rows], np.int64), *flat)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        sizes, terms, counts = state["examples"]
+        cut = np.cumsum(sizes)[:-1]
+        self.examples = list(zip(np.split(terms, cut), np.split(counts, cut))) if len(sizes) else []
+        self.index = BlockMaxIndex([self.vector(*e) for e in self.examples], len(self.weight)) if self.examples else None
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weight[terms]
         t, w = terms[w > 0].astype(np.int64), w[w > 0]
@@ -200,16 +220,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     encoded = stored(_with_terms(docs, terms), "terms")
     df, n_docs = _document_frequencies(encoded, len(terms))
     weight = (np.log((n_docs + 1) / (df + 1)) + 1e-3) * np.sqrt(g)
-    examples = _with_terms(sampled.select("doc_id", "text"), terms).join(sampled.select("doc_id", "label"), "doc_id").toArrow().sort_by("doc_id").combine_chunks()
-    rows = zip(examples.column("doc_id").to_pylist(), *(_lists(examples.column(c).combine_chunks()) for c in ("terms", "counts")), examples.column("label").to_pylist())
+    examples = _with_terms(sampled.select("doc_id", "text"), terms).join(sampled.select("doc_id", "label"), "doc_id").toArrow().sort_by("doc_id")
+    rows = [(i, t.astype(np.int32), c, y) for part in examples.to_batches()
+            for i, (t, c), y in zip(part.column("doc_id").to_pylist(), _encoded(part), part.column("label").to_pylist())]
     share = {y: counts[y] / n for y, n in have.items()}
-    voter = Voter(weight, list(rows), share)
+    voter = Voter(weight, rows, share)
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            rows = list(zip(_lists(batch.column("terms")), _lists(batch.column("counts"))))
+            rows = _encoded(batch)
             keys = [t.tobytes() + c.tobytes() for t, c in rows]
             known = dict(zip(keys, rows))  # copies of a text are answered once
             known = dict(zip(known, model.scores(list(known.values()))))

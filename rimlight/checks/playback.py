@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rimlight.checks.registry import check
-from rimlight.checks.sql import EVENTS, ROUTES, TIMED, finished, tuned
+from rimlight.checks.sql import EVENTS, FRAMES, ROUTES, SENT, TIMED, finished, segments, tuned
 from rimlight.functions import ids
 from rimlight.model import Tuning
 from rimlight.operators import playback as P
 from rimlight.operators import routing as R
+from rimlight.operators import segments as S
+from rimlight.operators import timeline as TL
 from rimlight.plans import display
+from rimlight.session import checkpointed
 from rimlight.sources import derived as D
 
 # ---- routing --------------------------------------------------------------------------------
@@ -110,68 +113,93 @@ def played_time(spark, sf):
     return P.played_time(D.playback_events(spark, sf), _DAY_US)
 
 
-_STARTS = """
-st as (select session_id, title_id, position_s / 200 as start_s from e where kind = 'start'
-       qualify row_number() over (partition by session_id order by ts desc, event_id desc) = 1)"""
+_T = Tuning()
+_SEGMENTS = segments(_T.sync_lead_s)
+_HERE = {"begin_ts": F.col("begin_ts").cast("timestamp_ntz")}
+
 
+def _segments(spark, sf):
+    return S.play_segments(D.short_events(spark, sf), _T.sync_lead_s, _DAY_US)
 
-def starts(spark, sf):
-    """Last start of each session; titles of the test data are seconds long, so positions shrink."""
-    return P.latest_starts(D.playback_events(spark, sf)).withColumn("start_s", F.col("start_s") / 200)
 
+@check(f"with {_SEGMENTS} select * from sg")
+def play_segments(spark, sf):
+    """Plays cut at starts, stops, seeks and pauses."""
+    return _segments(spark, sf).withColumns({**_HERE, "end_ts": F.col("end_ts").cast("timestamp_ntz")})
 
-@check(f"with {EVENTS}, {ROUTES}, {_STARTS} select session_id, title_id, start_s, host, port, mapping_order from st join routes using (session_id)")
+
+@check(f"with {_SEGMENTS}, {ROUTES} select session_id, play_no, opening_no, begin_ts, title_id, host, port, mapping_order from sg join routes using (session_id)")
 def session_fanout(spark, sf):
+    """Every segment of every play, once per target."""
     routes = R.route_sessions(D.sessions(spark, sf), D.device_mappings(spark), strict=True)
-    return P.session_fanout(starts(spark, sf), routes).select(
-        "session_id", "title_id", "start_s", "host", "port", "mapping_order")
+    return P.session_fanout(_segments(spark, sf), routes).withColumns(_HERE).select(
+        "session_id", "play_no", "opening_no", "begin_ts", "title_id", "host", "port", "mapping_order")
 
 
-_T = Tuning()
-_PLAYERS = f"""{TIMED}, {EVENTS}, {ROUTES}, {_STARTS},
-ends as (select title_id, max(frame_idx) as last from v group by title_id),
-opened as (select st.session_id, st.title_id, coalesce(min(x.frame_idx), any_value(last)) as start_frame
-           from st join ends using (title_id) left join vt x on x.title_id = st.title_id
-             and x.ts_us >= cast(floor(greatest(0, start_s + {_T.sync_lead_s}::double) * 1000000) as bigint) group by all),
-pl as (select o.session_id, host, port, o.title_id, start_frame, b.ts_us as base_ts,
-              (case when "top" > 0 then "top" else 5 end) + (case when bottom > 0 then bottom else 5 end)
-              + (case when "left" > 0 then "left" else 3 end) + (case when "right" > 0 then "right" else 3 end) as n, abs(input_position) as pos
-       from opened o join routes r using (session_id) join vt b on b.title_id = o.title_id and b.frame_idx = start_frame),
+@check(f"""with {FRAMES}, {_SEGMENTS}, {SENT} select session_id, play_no, opening_no, begin_ts, start_frame, min(frame_idx) as first_frame,
+       max(frame_idx) as last_frame, count(*) as frames from sent group by all""")
+def segment_frames(spark, sf):
+    """Frames of every segment, by search in the titles' schedules."""
+    frames = D.led_frames(spark, sf)
+    schedule = checkpointed(TL.frame_schedule(frames, TL.infer_fps(D.led_titles(spark, sf), frames)))
+    return S.frame_ranges(checkpointed(_segments(spark, sf)), schedule).withColumns(_HERE).select(
+        "session_id", "play_no", "opening_no", "begin_ts", "start_frame", "first_frame", "last_frame", "frames")
+
+
+def _shown(run: str) -> str:
+    """CTEs up to ``shown``. The average goes along the frames in sending order, through the whole of each ``run`` (columns)."""
+    return f"""{TIMED}, {_SEGMENTS}, {ROUTES}, {SENT},
 s as (select * from led_samples join lums using (title_id, frame_idx) join timed using (title_id, frame_idx)),
 t as materialized (select title_id, frame_idx, led_idx, r, g, b, w, 1.0::double - exp(-dt_s / {_T.tau}::double) as k, {tuned(_T)} from s),
-openings as (select distinct title_id, start_frame from pl),
+sq as materialized (select *, row_number() over (partition by {run} order by opening_no, frame_idx) as n from sent
+                    where session_id in (select session_id from routes)),
+stp as materialized (select sq.session_id, sq.play_no, opening_no, n, t.* exclude (title_id) from sq join t using (title_id, frame_idx)),
 ema as (
-  select p.title_id, p.start_frame, t.frame_idx, t.led_idx, r * (1 - k) + tr * k as ar, g * (1 - k) + tg * k as ag,
-         b * (1 - k) + tb * k as ab, w * 1.0::double as aw
-  from openings p join t on t.title_id = p.title_id and t.frame_idx = p.start_frame
+  select {run}, n, frame_idx, opening_no as o, led_idx, r * (1 - k) + tr * k as ar, g * (1 - k) + tg * k as ag, b * (1 - k) + tb * k as ab,
+         w * 1.0::double as aw from stp where n = 1
   union all
-  select e.title_id, e.start_frame, t.frame_idx, t.led_idx, ar * (1 - k) + tr * k, ag * (1 - k) + tg * k, ab * (1 - k) + tb * k,
-         aw * (1 - k) + w * k
-  from ema e join t on t.title_id = e.title_id and t.led_idx = e.led_idx and t.frame_idx = e.frame_idx + 1),
-bytes as (select title_id, start_frame, frame_idx, led_idx, {finished(_T)} from ema),
-shown as (
-  select session_id, host, port, p.title_id, f.frame_idx, greatest(0, f.ts_us - base_ts) as send_at_us,
-         string_agg(printf('%02X%02X%02X%02X', r, g, b, w), '' order by (i - pos % n + n) % n) as payload_hex
-  from (select *, unnest(range(n)) as i from pl) p
-  join bytes y on y.title_id = p.title_id and y.start_frame = p.start_frame and y.led_idx = i * 16 // n
-  join vt f on f.title_id = p.title_id and f.frame_idx = y.frame_idx
-  group by all)"""
-
-
-def _displayed(spark, sf):
-    return display.display_frames(
-        starts(spark, sf), D.sessions(spark, sf), D.device_mappings(spark), D.led_titles(spark, sf),
-        D.led_frames(spark, sf), _T, strict=True)
-
-
-@check(f"with recursive {_PLAYERS} select session_id, host, port, title_id, frame_idx, send_at_us, md5(payload_hex) as payload_md5 from shown",
-       name="display_frames")
+  select {", ".join(f"e.{c.strip()}" for c in run.split(","))}, t.n, t.frame_idx, t.opening_no, t.led_idx, ar * (1 - k) + tr * k, ag * (1 - k) + tg * k,
+         ab * (1 - k) + tb * k, aw * (1 - k) + w * k
+  from ema e join stp t on {" and ".join(f"t.{c.strip()} = e.{c.strip()}" for c in run.split(","))} and t.led_idx = e.led_idx and t.n = e.n + 1),
+bytes as (select session_id, o as opening_no, frame_idx, led_idx, {finished(_T)} from ema),
+pl as (select session_id, host, port, (case when "top" > 0 then "top" else 5 end) + (case when bottom > 0 then bottom else 5 end)
+              + (case when "left" > 0 then "left" else 3 end) + (case when "right" > 0 then "right" else 3 end) as n, abs(input_position) as pos from routes),
+strips as (
+  select p.session_id, host, port, opening_no, frame_idx, string_agg(printf('%02X%02X%02X%02X', r, g, b, w), '' order by (i - pos % n + n) % n) as payload_hex
+  from (select *, unnest(range(n)) as i from pl) p join bytes y on y.session_id = p.session_id and y.led_idx = i * 16 // n group by all),
+shown as (select x.session_id, host, port, play_no, x.opening_no, title_id, x.frame_idx, d as send_at_us,
+                 begin_ts + to_microseconds(d - played_us) as sent_ts, payload_hex
+          from strips x join sq using (session_id, opening_no, frame_idx))"""
+
+
+_DISPLAY = "select session_id, host, port, play_no, opening_no, title_id, frame_idx, send_at_us, sent_ts, md5(payload_hex) as payload_md5 from shown"
+
+
+def _displayed(spark, sf, **options):
+    out = display.display_frames(
+        D.short_events(spark, sf), D.sessions(spark, sf), D.device_mappings(spark), D.led_titles(spark, sf),
+        D.led_frames(spark, sf), _T, strict=True, **options)
+    return out.withColumns({"payload_md5": F.md5(F.hex("payload")), "sent_ts": F.col("sent_ts").cast("timestamp_ntz")}).drop("payload")
+
+
+@check(f"with recursive {_shown('session_id, play_no')} {_DISPLAY}", name="display_frames")
 def _display_frames(spark, sf):
-    """The whole playback path: start frame, routing, tone, smoothing, resampling, rotation, schedule."""
-    return _displayed(spark, sf).withColumn("payload_md5", F.md5(F.hex("payload"))).drop("payload")
+    """The whole playback path: segments, routing, tone, smoothing through seeks, resampling, rotation, schedule."""
+    return _displayed(spark, sf)
+
+
+@check(f"with recursive {_shown('session_id, play_no, opening_no').replace('opening_no as o, ', '').replace('t.opening_no, t.led_idx', 't.led_idx').replace('o as opening_no', 'opening_no')} {_DISPLAY}",
+       name="display_frames_reset")
+def _display_frames_reset(spark, sf):
+    """The same with smoothing that starts anew at every seek."""
+    return _displayed(spark, sf, reset_on_seek=True)
 
 
-@check(f"""with recursive {_PLAYERS} select title_id, count(distinct (session_id, host, port)) as players,
-       count(*) as frames_sent, cast(sum(length(payload_hex) // 2) as bigint) as bytes_sent from shown group by title_id""", name="display_summary")
+@check(f"""with {FRAMES}, {_SEGMENTS}, {ROUTES}, {SENT},
+       pl as (select session_id, host, port, (case when "top" > 0 then "top" else 5 end) + (case when bottom > 0 then bottom else 5 end)
+              + (case when "left" > 0 then "left" else 3 end) + (case when "right" > 0 then "right" else 3 end) as n from routes)
+       select title_id, count(distinct (session_id, host, port)) as players, count(*) as frames_sent, cast(sum(n * 4) as bigint) as bytes_sent
+       from sent join pl using (session_id) group by title_id""", name="display_summary")
 def _display_summary(spark, sf):
-    return display.display_summary(_displayed(spark, sf))
+    return display.display_summary(
+        D.short_events(spark, sf), D.sessions(spark, sf), D.device_mappings(spark), D.led_titles(spark, sf), D.led_frames(spark, sf), _T)

@@ -206,3 +206,43 @@ matched as (
                     regexp_replace(lower(m.device_identifier), '[^a-z0-9]', '', 'g'))))),
 routes as (select session_id, host, port, mapping_order, "top", bottom, "left", "right", input_position from matched
            qualify row_number() over (partition by session_id, host, port order by mapping_order) = 1)"""
+
+# events on the scale of the test titles: see derived.short_events
+_SHORT_EVENTS = EVENTS.replace(
+    "event_id, ts,", "event_id, make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 100000) as ts,", 1).replace(
+    "value as position_s", "value / 200 as position_s", 1)
+
+
+def segments(lead_s: float) -> str:
+    """CTEs up to ``sg``: stretches of unpaused play, each with its opening."""
+    return _SHORT_EVENTS + f""",
+fl as (select c.*, coalesce(abs(p.position_s - p.prev_position_s) > 0.5, false) as seek, coalesce(p.is_paused <> p.prev_paused, false) as flip,
+              p.event_id is not null as prog from c left join p using (session_id, event_id)),
+bd as (select *, kind = 'start' or seek as opening, kind = 'start' or (prog and not is_paused) as sending
+       from fl where kind = 'start' or seek or flip or (kind = 'stop' and ctl = 'start')),
+bn as (select * exclude (title_id), cast(sum(case when opening then 1 else 0 end) over w as bigint) as opening_no, lead(ts) over w as end_ts,
+              last_value(case when kind = 'start' then title_id end ignore nulls) over (
+                partition by session_id order by ts, event_id rows between unbounded preceding and current row) as title_id
+       from bd window w as (partition by session_id order by ts, event_id)),
+op as (select session_id, opening_no, case kind when 'start' then 'start' else 'seek' end as opened_by,
+              cast(floor(greatest(0, position_s + (case kind when 'start' then {lead_s}::double else 0 end)) * 1000000) as bigint) as target_us
+       from bn where opening),
+iv as (select session_id, event_id, play_no, opening_no, title_id, ts as begin_ts, end_ts, epoch_us(end_ts) - epoch_us(ts) as length_us
+       from bn where sending and (end_ts is null or end_ts > ts)),
+sg as (select session_id, play_no, opening_no, opened_by, title_id, target_us, begin_ts, end_ts,
+              cast(coalesce(sum(length_us) over (partition by session_id, opening_no order by begin_ts, event_id
+                rows between unbounded preceding and 1 preceding), 0) as bigint) as played_us, length_us
+       from iv join op using (session_id, opening_no))"""
+
+
+# CTEs up to ``sent`` after FRAMES and ``sg``: the frames of every segment
+SENT = """
+ends as (select title_id, max(frame_idx) as last from v group by title_id),
+ost as (select o.title_id, o.target_us, coalesce(min(x.frame_idx), any_value(last)) as start_frame
+        from (select distinct title_id, target_us from sg) o join ends using (title_id)
+        left join vt x on x.title_id = o.title_id and x.ts_us >= o.target_us group by all),
+rg as (select sg.*, start_frame, b.ts_us as base_ts from sg join ost using (title_id, target_us)
+       join vt b on b.title_id = sg.title_id and b.frame_idx = start_frame),
+sent as (select rg.*, f.frame_idx, f.ts_us - base_ts as d from rg
+         join vt f on f.title_id = rg.title_id and f.frame_idx >= start_frame and f.ts_us - base_ts >= played_us
+           and (length_us is null or f.ts_us - base_ts < played_us + length_us))"""

@@ -253,10 +253,10 @@ def display_samples(spark, sf):
        select title_id, frame_idx, string_agg(printf('%02X%02X%02X%02X', r, g, b, w), '' order by (led_idx - 3 + 16) % 16) as payload_hex
        from o group by all""")
 def smooth_frames(spark, sf):
-    """The packed kernel, with spans of a second; the strip is turned by three lights."""
+    """The packed kernel, with chunks of eight frames; the strip is turned by three lights."""
     frames = timed_frames(spark, sf).withColumns(
         {"channels": F.lit(4), "total_tgt": F.lit(16), "turn": F.lit(3)})
-    return run_kernel(frames, ["title_id"], STRONG, span_s=1.0).select(
+    return run_kernel(frames, ["title_id"], STRONG, chunk_frames=8).select(
         "title_id", "frame_idx", F.hex("payload").alias("payload_hex"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,3 +77,23 @@ def payload_luminance(payload: pd.Series, channels: pd.Series) -> pd.Series:
         if rgb.shape[1]:
             out[rows] = (rgb @ np.array(LUMA_WEIGHTS)).sum(axis=1) / (rgb.shape[1] * 10_000)
     return pd.Series(out)
+
+
+def byte_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, bytes) of a binary column whose values are equally long and not null, without a copy."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], kind)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(len(column), -1)
+
+
+def binary_column(rows: np.ndarray, here: np.ndarray | None = None) -> pa.Array:
+    """The rows of a matrix as packed binaries; with ``here``, rows for its true places and null elsewhere."""
+    rows = np.ascontiguousarray(rows)
+    size = rows.itemsize * int(np.prod(rows.shape[1:]))
+    here = np.ones(len(rows), bool) if here is None else here
+    ends = np.concatenate(([0], np.cumsum(here * size))).astype(np.int64)
+    valid = np.packbits(here, bitorder="little")
+    large = pa.Array.from_buffers(pa.large_binary(), len(here), [pa.py_buffer(valid), pa.py_buffer(ends), pa.py_buffer(rows)])
+    return large.cast(pa.binary())

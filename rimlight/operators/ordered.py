@@ -41,18 +41,19 @@ def with_carry(
     previous: Mapping[str, Column] | None = None,
     last_before: Mapping[str, Column] | None = None,
     sums: Mapping[str, Column] | None = None,
+    maxima: Mapping[str, Column] | None = None,
     per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns that depend on earlier rows of the same key; ``df`` has a ``chunk`` column.
 
     ``previous``: value of the row before. ``last_before``: last non-null value strictly before
-    the row. ``sums``: running sum, the row included. ``per_key``: at most one row per key, whose
+    the row. ``sums`` and ``maxima``: running sum and maximum, the row included. ``per_key``: at most one row per key, whose
     other columns ride along with the carries (null for unknown keys). That spares the rows an
     exchange by the key alone.
     """
-    previous, last_before, sums = previous or {}, last_before or {}, sums or {}
+    previous, last_before, sums, maxima = previous or {}, last_before or {}, sums or {}, maxima or {}
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    inputs = {**previous, **last_before, **sums}
+    inputs = {**previous, **last_before, **sums, **maxima}
     df = df.withColumns({f"_v_{n}": e for n, e in inputs.items()})
 
     def summary_of(name: str) -> Column:
@@ -61,7 +62,7 @@ def with_carry(
             return F.max_by(value, position)
         if name in last_before:
             return F.max_by(value, F.when(value.isNotNull(), position))
-        return F.sum(value)
+        return F.max(value) if name in maxima else F.sum(value)
 
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +73,7 @@ def with_carry(
             return F.lag(value).over(across)
         if name in last_before:
             return F.last(value, ignorenulls=True).over(earlier)
-        return F.sum(value).over(earlier)
+        return (F.max(value) if name in maxima else F.sum(value)).over(earlier)
 
     summary = df.groupBy(*keys, CHUNK).agg(*[summary_of(n).alias(f"_s_{n}") for n in inputs])
     carries = summary.select(*keys, CHUNK, *[carry_of(n).alias(f"_c_{n}") for n in inputs])
@@ -90,7 +91,7 @@ def with_carry(
             return F.lag(value).over(inside)
         if name in last_before:
             return F.last(value, ignorenulls=True).over(before)
-        return F.sum(value).over(upto)
+        return (F.max(value) if name in maxima else F.sum(value)).over(upto)
 
     def result_of(name: str) -> Column:
         value, carry = F.col(f"_w_{name}"), F.col(f"_c_{name}")
@@ -98,6 +99,8 @@ def with_carry(
             return F.when(F.col("_no") == 1, carry).otherwise(value)
         if name in last_before:
             return F.coalesce(value, carry)
+        if name in maxima:
+            return F.greatest(value, carry)
         return F.coalesce(carry, F.lit(0).cast(df.schema[f"_v_{name}"].dataType)) + value
 
     # windows come first: their sort also serves the join that follows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,6 +61,18 @@ def frame_clock(frames: DataFrame, rates: DataFrame, keep_chunk: bool = False) -
     return clock if keep_chunk else clock.drop(ordered.CHUNK)
 
 
+def frame_schedule(frames: DataFrame, rates: DataFrame) -> DataFrame:
+    """``frame_clock`` with what players need: ``nth`` (0-based ordinal), ``prev_idx`` (the frame before), ``due_us``.
+
+    A player takes frames in file order and never waits for one whose time has passed, so a frame
+    is due at the largest timestamp up to it. The chunk stays in the result.
+    """
+    timed = ordered.with_carry(
+        _gaps(frames, rates), ["title_id"], ["frame_idx"], previous={"prev_idx": F.col("frame_idx")},
+        sums={"clock_s": F.col("dt_s"), "nth": F.lit(1).cast("long")}, maxima={"due_us": F.col("ts_us")})
+    return timed.withColumn("nth", F.col("nth") - 1)
+
+
 def _gaps(frames: DataFrame, rates: DataFrame) -> DataFrame:
     timed = ordered.with_carry(
         frames.withColumn(ordered.CHUNK, ordered.frame_chunk()),
@@ -108,39 +122,41 @@ def progress_samples(frames: DataFrame, every: int = PROGRESS_EVERY_FRAMES) -> D
     return sampled.unionByName(final)
 
 
-def seek_frame(frames: DataFrame, lookups: DataFrame, bucket_us: int = SEEK_BUCKET_US) -> DataFrame:
-    """Add ``frame_idx``: the first frame with ``ts_us >= target_us``, past the end the last one.
+def first_at(
+    frames: DataFrame, lookups: DataFrame, at: str, bucket: float, extras: Sequence[str] = (),
+) -> DataFrame:
+    """``title_id, wanted, hit, last`` of every distinct lookup ``(title_id, wanted)``.
 
-    Equal lookups are looked up once. Frames and lookups meet per (title, time bucket); what lies
-    in later buckets comes from one row per bucket. The smallest frame number is taken, so
-    timestamps that run backwards give the same answer as a scan in file order.
+    ``hit`` is the first frame (smallest ``frame_idx``) whose column ``at`` reaches ``wanted``, null past the end,
+    and ``last`` the last frame of the title, both with the columns ``extras``. Frames and lookups meet per
+    (title, bucket of ``at``); what lies in later buckets comes from one row per bucket. The smallest frame
+    number is taken, so values that run backwards give the same answer as a scan in file order.
     """
-    bucket = lambda c: F.floor(F.col(c) / F.lit(bucket_us)).cast("long")
-    points = frames.select("title_id", "frame_idx", "ts_us").withColumn("_b", bucket("ts_us"))
-    wanted = lookups.select("title_id", "target_us").distinct().withColumn("_b", bucket("target_us"))
-
-    mixed = points.select("title_id", "_b", F.col("ts_us").alias("_t"), "frame_idx",
-                          F.lit(0).alias("_kind")).unionByName(
-        wanted.select("title_id", "_b", F.col("target_us").alias("_t"),
-                      F.lit(None).cast("long").alias("frame_idx"), F.lit(1).alias("_kind")))
-    buckets = mixed.groupBy("title_id", "_b").agg(
-        F.min("frame_idx").alias("_min"), F.max("frame_idx").alias("_max"))
-    later = Window.partitionBy("title_id").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy("title_id").orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
+    no = lambda c: F.floor(F.col(c) / F.lit(bucket)).cast("long")
+    frame = F.struct("frame_idx", *extras)
+    points = frames.select("title_id", no(at).alias("_b"), F.col(at).alias("wanted"), frame.alias("_f"), F.lit(0).alias("_kind"))
+    asked = lookups.select("title_id", "wanted").distinct().select(
+        "title_id", no("wanted").alias("_b"), "wanted", F.lit(None).cast(points.schema["_f"].dataType).alias("_f"), F.lit(1).alias("_kind"))
+    mixed = points.unionByName(asked)
+    buckets = mixed.groupBy("title_id", "_b").agg(F.min("_f").alias("_min"), F.max("_f").alias("_max"))
+    across = Window.partitionBy("title_id").orderBy("_b")
     carry = buckets.select(
-        "title_id", "_b",
-        F.min("_min").over(later).alias("_next"),
-        F.max("_max").over(whole).alias("_last"))
+        "title_id", "_b", F.min("_min").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        F.max("_max").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
 
     # latest first; at equal times frames come before the lookup
-    downwards = Window.partitionBy("title_id", "_b").orderBy(F.desc("_t"), "_kind").rowsBetween(
+    downwards = Window.partitionBy("title_id", "_b").orderBy(F.desc("wanted"), "_kind").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    found = (
-        mixed.withColumn("_here", F.min("frame_idx").over(downwards))
+    return (
+        mixed.withColumn("_here", F.min("_f").over(downwards))
         .where(F.col("_kind") == 1)
         .join(carry, ["title_id", "_b"])
-        .select("title_id", F.col("_t").alias("target_us"),
-                F.coalesce(F.least("_here", "_next"), F.col("_last")).alias("frame_idx"))
+        .select("title_id", "wanted", F.least("_here", "_next").alias("hit"), "last")
     )
+
+
+def seek_frame(frames: DataFrame, lookups: DataFrame, bucket_us: int = SEEK_BUCKET_US) -> DataFrame:
+    """Add ``frame_idx``: the first frame with ``ts_us >= target_us``, past the end the last one."""
+    found = first_at(frames, lookups.withColumn("wanted", F.col("target_us")), "ts_us", bucket_us).select(
+        "title_id", F.col("wanted").alias("target_us"), F.coalesce("hit.frame_idx", "last.frame_idx").alias("frame_idx"))
     return lookups.join(found, ["title_id", "target_us"], "left")

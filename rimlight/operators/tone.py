@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 from rimlight.functions import color
 from rimlight.model import Tuning
 from rimlight.operators.timeline import frame_luminance
+from rimlight.session import checkpointed
 
-# exp(-40) is below double precision relative to a byte
-DECAY_SPANS = 40.0
+#: Time constants in a span: weights inside of it are taken relative to its start and grow up to exp of this.
+SPAN_TAUS = 40.0
 
 
 def resample_leds(samples: DataFrame, targets: DataFrame) -> DataFrame:
@@ -48,13 +49,14 @@ def smooth(
     """Exponential moving average along ``frame_idx``: adds ``name: (input, seed)`` columns.
 
     ``acc = acc (1 - k) + x k`` with ``k = 1 - exp(-dt/tau)``, seeded with the seed column of the
-    first row. Rows carry ``dt_s`` and ``clock_s``. A sequence is cut into spans of 40 tau: all
-    that is older than the span before weighs less than exp(-40), so a span needs one carried
-    value and spans are computed apart from each other.
+    first row. Rows carry ``dt_s`` and ``clock_s``. A sequence is cut into spans of time, and what a span does to
+    the average is an affine map (decay, sum). Such maps compose, so the state at the start of every span is a
+    prefix scan over all earlier spans, by doubling steps on one small row per span: nothing is cut off, and
+    rows of different spans never meet.
     """
     if tau <= 0:
         return rows.withColumns({n: F.col(x).cast("double") for n, (x, _) in values.items()})
-    span = DECAY_SPANS * tau
+    span = SPAN_TAUS * tau
     rows = rows.withColumn("_b", F.floor(F.col("clock_s") / F.lit(span)).cast("long")).withColumn(
         "_u", (F.col("clock_s") - F.col("_b") * F.lit(span)) / F.lit(tau))
     gain = F.lit(1.0) - F.exp(-F.col("dt_s") / F.lit(tau))
@@ -67,18 +69,20 @@ def smooth(
         *[F.min_by(F.col(seed).cast("double"), "frame_idx").alias(f"_seed_{n}")
           for n, (_, seed) in values.items()])
     across = Window.partitionBy(*keys).orderBy("_b")
-    first = F.row_number().over(across) == 1
-    spans = spans.withColumn("_first", first)
-    next_to = F.lag("_b").over(across) == F.col("_b") - 1
-
-    def carried(n: str) -> Column:
-        at_end = F.col(f"_sum_{n}") * F.exp(-F.col("_umax")) + F.when(
-            F.col("_first"), F.col(f"_seed_{n}") * F.exp(-F.col("_end") / F.lit(tau))).otherwise(0.0)
-        return (F.when(F.col("_first"), F.col(f"_seed_{n}"))
-                .when(next_to, F.lag(at_end).over(across)).otherwise(0.0)).alias(f"_c_{n}")
-
-    since = F.when(F.col("_first"), F.lit(0.0)).otherwise(F.lag("_end").over(across)).alias("_since")
-    carries = spans.select(*keys, "_b", since, *[carried(n) for n in values])
+    spans = checkpointed(spans.withColumn("_since", F.coalesce(F.lag("_end").over(across), F.lit(0.0))).withColumn(
+        "_no", F.row_number().over(across)))
+    first, old = F.col("_no") == 1, F.exp(-(F.col("_end") - F.col("_since")) / F.lit(tau))
+    # the seed is part of what the first span does, so it forgets what came before
+    maps = spans.withColumns({"_d": F.when(first, 0.0).otherwise(old), **{
+        f"_e_{n}": F.col(f"_sum_{n}") * F.exp(-F.col("_umax")) + F.when(first, F.col(f"_seed_{n}") * old).otherwise(0.0) for n in values}})
+    step, most = 1, spans.agg(F.max("_no")).first()[0] or 0
+    while step < most:
+        before = lambda c: F.coalesce(F.lag(c, step).over(across), F.lit(0.0))  # noqa: B023, E731
+        maps = maps.withColumns({"_d": F.col("_d") * before("_d"), **{
+            f"_e_{n}": F.col(f"_e_{n}") + F.col("_d") * before(f"_e_{n}") for n in values}})
+        step *= 2
+    carries = maps.select(*keys, "_b", "_since", *[
+        F.when(first, F.col(f"_seed_{n}")).otherwise(F.lag(f"_e_{n}").over(across)).alias(f"_c_{n}") for n in values])
     upto = Window.partitionBy(*keys, "_b").orderBy("frame_idx").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     old = F.exp(-(F.col("clock_s") - F.col("_since")) / F.lit(tau))

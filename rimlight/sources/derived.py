@@ -150,6 +150,15 @@ def playback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("position_s"), (F.col("event_type") == "error").alias("is_paused"))
 
 
+def short_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events on the scale of the test titles, which last seconds: a 200th of positions, a 100,000th of the time."""
+    us = F.unix_micros("ts")
+    base = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return playback_events(spark, sf_dir).withColumns({
+        "position_s": F.col("position_s") / 200,
+        "ts": F.timestamp_micros(base + F.floor((us - base) / 100_000).cast("long"))})
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

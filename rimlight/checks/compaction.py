@@ -78,6 +78,33 @@ def seek_index(spark, sf):
     return C.seek_index(D.led_frames(spark, sf), _STEP)
 
 
+_ALL_SAMPLES = f"with {SAMPLES} select title_id, frame_idx, ts_us, led_idx, r, g, b, w from led_samples"
+
+
+@check(f"with {SAMPLES} select title_id, frame_idx, ts_us, payload_hex from led_frames")
+def expand_runs(spark, sf):
+    """Runs of identical frames and back."""
+    frames = D.led_frames(spark, sf)
+    return C.expand_runs(C.frame_runs(frames), frames).select("title_id", "frame_idx", "ts_us", F.hex("payload").alias("payload_hex"))
+
+
+@check(_ALL_SAMPLES)
+def restore_deltas(spark, sf):
+    """Without a threshold nothing is lost."""
+    samples = D.led_samples(spark, sf)
+    return C.restore_deltas(C.delta_frames(samples, every=12, threshold=0), D.led_frames(spark, sf), every=12)
+
+
+@check(f"""with {SAMPLES}, k as (select *, first_value(struct_pack(r := r, g := g, b := b, w := w)) over (
+         partition by title_id, led_idx, frame_idx // 12 order by frame_idx) as f from led_samples),
+       m as (select *, greatest(abs(r - f.r), abs(g - f.g), abs(b - f.b), abs(w - f.w)) > 10 as moved from k)
+       select title_id, frame_idx, ts_us, led_idx, case when moved then r else f.r end as r, case when moved then g else f.g end as g,
+              case when moved then b else f.b end as b, case when moved then w else f.w end as w from m""")
+def restore_deltas_lossy(spark, sf):
+    samples = D.led_samples(spark, sf)
+    return C.restore_deltas(C.delta_frames(samples, every=12), D.led_frames(spark, sf), every=12)
+
+
 @check(f"""with {FRAMES}, g as (select title_id, ts_us - lag(ts_us) over (partition by title_id order by frame_idx) as gap from vt),
        m as (select title_id, median(gap) as med from g where gap is not null group by title_id)
        select title_id, count(*) as gaps, min(gap) as min_gap_us, max(gap) as max_gap_us, any_value(med) as median_gap_us,

@@ -115,7 +115,10 @@ def played_time(spark, sf):
 
 _T = Tuning()
 _SEGMENTS = segments(_T.sync_lead_s)
-_HERE = {"begin_ts": F.col("begin_ts").cast("timestamp_ntz")}
+
+
+def _plain_times(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
 def _segments(spark, sf):
@@ -125,14 +128,14 @@ def _segments(spark, sf):
 @check(f"with {_SEGMENTS} select * from sg")
 def play_segments(spark, sf):
     """Plays cut at starts, stops, seeks and pauses."""
-    return _segments(spark, sf).withColumns({**_HERE, "end_ts": F.col("end_ts").cast("timestamp_ntz")})
+    return _plain_times(_segments(spark, sf), "begin_ts", "end_ts")
 
 
 @check(f"with {_SEGMENTS}, {ROUTES} select session_id, play_no, opening_no, begin_ts, title_id, host, port, mapping_order from sg join routes using (session_id)")
 def session_fanout(spark, sf):
     """Every segment of every play, once per target."""
     routes = R.route_sessions(D.sessions(spark, sf), D.device_mappings(spark), strict=True)
-    return P.session_fanout(_segments(spark, sf), routes).withColumns(_HERE).select(
+    return _plain_times(P.session_fanout(_segments(spark, sf), routes), "begin_ts").select(
         "session_id", "play_no", "opening_no", "begin_ts", "title_id", "host", "port", "mapping_order")
 
 
@@ -142,7 +145,7 @@ def segment_frames(spark, sf):
     """Frames of every segment, by search in the titles' schedules."""
     frames = D.led_frames(spark, sf)
     schedule = checkpointed(TL.frame_schedule(frames, TL.infer_fps(D.led_titles(spark, sf), frames)))
-    return S.frame_ranges(checkpointed(_segments(spark, sf)), schedule).withColumns(_HERE).select(
+    return _plain_times(S.frame_ranges(checkpointed(_segments(spark, sf)), schedule), "begin_ts").select(
         "session_id", "play_no", "opening_no", "begin_ts", "start_frame", "first_frame", "last_frame", "frames")
 
 
@@ -179,7 +182,7 @@ def _displayed(spark, sf, **options):
     out = display.display_frames(
         D.short_events(spark, sf), D.sessions(spark, sf), D.device_mappings(spark), D.led_titles(spark, sf),
         D.led_frames(spark, sf), _T, strict=True, **options)
-    return out.withColumns({"payload_md5": F.md5(F.hex("payload")), "sent_ts": F.col("sent_ts").cast("timestamp_ntz")}).drop("payload")
+    return _plain_times(out.withColumn("payload_md5", F.md5(F.hex("payload"))).drop("payload"), "sent_ts")
 
 
 @check(f"with recursive {_shown('session_id, play_no')} {_DISPLAY}", name="display_frames")

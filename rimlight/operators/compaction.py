@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from rimlight.functions.packed import payload_delta
 from rimlight.operators import ordered
+from rimlight.operators.selection import select_ranks
+from rimlight.session import checkpointed
 
 CHUNK_US = 10_000_000
 KEYFRAME_EVERY = 48
@@ -50,6 +52,21 @@ def frame_runs(frames: DataFrame, similarity: float = 1.0) -> DataFrame:
         F.min_by("payload", "frame_idx").alias("payload"))
 
 
+def expand_runs(runs: DataFrame, clock: DataFrame) -> DataFrame:
+    """Frames of ``frame_runs``: ``title_id, frame_idx, ts_us, payload`` for every frame of ``clock(title_id, frame_idx, ts_us)``.
+
+    Every frame takes the payload of its run; exact for identical runs, else within the similarity of each step.
+    Runs and clock meet per (title, chunk of frames), so a run over half a title is spread over its chunks.
+    """
+    no = lambda c: F.floor(c / ordered.FRAME_CHUNK).cast("long")
+    last = F.col("first_frame") + F.col("frames") - 1
+    spread = runs.select("title_id", "first_frame", last.alias("_last"), "payload",
+                         F.explode(F.sequence(no(F.col("first_frame")), no(last))).alias(ordered.CHUNK))
+    timed = clock.select("title_id", "frame_idx", "ts_us", ordered.frame_chunk().alias(ordered.CHUNK))
+    return timed.join(spread, ["title_id", ordered.CHUNK]).where("frame_idx between first_frame and _last").select(
+        "title_id", "frame_idx", "ts_us", "payload")
+
+
 def delta_frames(
     samples: DataFrame, every: int = KEYFRAME_EVERY, threshold: int = DELTA_THRESHOLD,
 ) -> DataFrame:
@@ -66,6 +83,24 @@ def delta_frames(
         *[value(c) for c in "rgbw"])
 
 
+def restore_deltas(deltas: DataFrame, clock: DataFrame, every: int = KEYFRAME_EVERY) -> DataFrame:
+    """All lights of all frames of ``clock(title_id, frame_idx, ts_us)`` from ``delta_frames``.
+
+    A light stands where the keyframe had it, moved by its delta where there is one: exact at threshold 0, else
+    within the threshold. The rows of one light between two keyframes (``every`` at most) form one group, which is
+    unfolded over its frames; the table is not joined with itself.
+    """
+    channels = ["r", "g", "b", "w"]
+    delta = F.map_from_entries(F.collect_list(F.when(~F.col("is_key"), F.struct("frame_idx", F.struct(*channels)))))
+    groups = deltas.groupBy("title_id", "key_frame", "led_idx").agg(
+        *[F.max(F.when(F.col("is_key"), F.col(c))).alias(f"_{c}") for c in channels], delta.alias("_moved"))
+    unfolded = groups.withColumn("frame_idx", F.explode(F.sequence("key_frame", F.col("key_frame") + (every - 1)))).withColumn(
+        "_d", F.try_element_at("_moved", F.col("frame_idx")))
+    value = lambda c: (F.col(f"_{c}") + F.coalesce(F.col(f"_d.{c}"), F.lit(0))).alias(c)
+    return unfolded.select("title_id", "frame_idx", "led_idx", *[value(c) for c in channels]).join(
+        clock.select("title_id", "frame_idx", "ts_us"), ["title_id", "frame_idx"])
+
+
 def scene_cuts(frames: DataFrame, threshold: float = SCENE_CUT) -> DataFrame:
     """Colour difference of every frame to the one before, and whether it is a cut."""
     rows = _with_previous_payload(frames).select("title_id", "frame_idx", "ts_us", F.coalesce(
@@ -96,24 +131,22 @@ def seek_index(frames: DataFrame, every_us: int = CHUNK_US) -> DataFrame:
 def vfr_report(frames: DataFrame, jitter: float = 1.2, gap_factor: float = 1.5) -> DataFrame:
     """Frame durations per title; ``is_vfr`` when the longest exceeds the shortest by ``jitter``.
 
-    All figures come from the histogram of durations, so no title is gathered in one place.
+    All figures come from the histogram of durations, and the median by selection of its rank, so a title with ever so
+    many different durations is never gathered in one place.
     """
     timed = ordered.with_carry(
         frames.select("title_id", "frame_idx", "ts_us").withColumn(ordered.CHUNK, ordered.frame_chunk()),
         _TITLE, ["frame_idx"], previous={"_prev": F.col("ts_us")})
-    hist = timed.where("_prev is not null").groupBy(
-        "title_id", (F.col("ts_us") - F.col("_prev")).alias("gap")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("title_id").orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("title_id")
-    ranked = hist.withColumns({"_to": F.sum("n").over(upto), "_all": F.sum("n").over(whole)})
-    middle = lambda row: (F.col("_to") - F.col("n") < row) & (row <= F.col("_to"))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    ranked = ranked.withColumn("_median", (
-        F.max(F.when(middle(low), F.col("gap"))).over(whole)
-        + F.max(F.when(middle(high), F.col("gap"))).over(whole)) / F.lit(2.0))
+    hist = checkpointed(timed.where("_prev is not null").groupBy(
+        "title_id", (F.col("ts_us") - F.col("_prev")).alias("gap")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = hist.groupBy("title_id").agg(F.sum("n").alias("_all"))
+    # of an even number of gaps the two in the middle
+    ranks = sizes.select("title_id", F.explode(F.array(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1)).alias("rank")).distinct()
+    medians = select_ranks(hist, _TITLE, "gap", ranks).groupBy("title_id").agg(
+        ((F.min("gap") + F.max("gap")) / F.lit(2.0)).alias("_median"))
     n, gap = F.col("n"), F.col("gap")
     mean = F.sum(n * gap) / F.sum(n)
-    report = ranked.groupBy("title_id").agg(
+    report = hist.join(medians, "title_id").groupBy("title_id").agg(
         F.sum("n").alias("gaps"), F.min("gap").alias("min_gap_us"), F.max("gap").alias("max_gap_us"),
         F.max("_median").alias("median_gap_us"), mean.alias("mean_gap_us"),
         F.sqrt(F.greatest(F.sum(n * gap * gap) / F.sum(n) - mean * mean, F.lit(0.0))).alias("stddev_gap_us"),

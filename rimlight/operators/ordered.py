@@ -17,11 +17,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rimlight.session import checkpointed
+
 FRAME_CHUNK = 4096
 EVENT_CHUNK_US = 60_000_000
+_PARTITION_BITS = 33  # monotonically_increasing_id has the partition above these bits
 CHUNK = "chunk"
 
 
@@ -112,7 +114,18 @@ def with_carry(
 def with_row_index(
     df: DataFrame, keys: Sequence[str], order: str, name: str = "frame_idx",
 ) -> DataFrame:
-    """Add the 0-based ordinal of every row of its key along a unique whole-number column."""
-    counted = with_carry(df.withColumn(CHUNK, frame_chunk(order)), keys, [order],
-                         sums={name: F.lit(1).cast(T.LongType())})
-    return counted.withColumn(name, F.col(name) - 1).drop(CHUNK)
+    """Add the 0-based ordinal of every row of its key along a unique column, however sparse it is.
+
+    Rows are dealt out by ranges of (key, order), sorted and stored with their number in their partition. A key's rows
+    are consecutive there, so its count per partition gives the offsets to add: one small row per key and partition.
+    """
+    sort = [*keys, order]
+    numbered = checkpointed(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("_at"), _PARTITION_BITS).alias("_part")
+    runs = numbered.groupBy(*keys, part).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"),
+                          (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_add"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = numbered.withColumn("_part", part).join(offsets, [F.col("_part") == F.col("_p"), *same])
+    return joined.withColumn(name, F.col("_at") + F.col("_add")).select(*df.columns, name)

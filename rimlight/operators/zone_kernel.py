@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rimlight.model import (
     CENTRE_SHARE,
@@ -126,5 +127,5 @@ def frame_zone_colors(
     return (
         frames.where(F.length("pixels") == size)
         .select("title_id", "frame_idx", "ts_us", "pixels")
-        .mapInArrow(run, "title_id int, frame_idx bigint, ts_us bigint, payload binary")
+        .mapInArrow(run, T.StructType([*[frames.schema[c] for c in ("title_id", "frame_idx", "ts_us")], T.StructField("payload", T.BinaryType())]))
     )

@@ -11,6 +11,7 @@ from rimlight.session import fresh_folder
 from rimlight.sources import derived as D
 from rimlight.streaming import library as L
 from rimlight.streaming import playback as S
+from rimlight.streaming.progress import ProgressTable, run_progress
 from rimlight.streaming.tables import read_events, run_to_table
 
 _SLICES = 3
@@ -65,9 +66,14 @@ def stream_removed_items(spark, sf):
 
 @check(f"with {PROGRESS} select item_id, ts, frames_current, frames_total from latest")
 def stream_progress(spark, sf):
-    written = run_to_table(L.stream_progress(_stream_of(spark, progress_reports(spark, sf))), "update")
-    return written.groupBy("item_id").agg(F.max(F.struct("ts", "frames_current", "frames_total")).alias("p")).select(
-        "item_id", F.col("p.ts").cast("timestamp_ntz").alias("ts"), "p.frames_current", "p.frames_total")
+    """The upsert table after four batches, with a snapshot in between; the first batch is replayed."""
+    table = ProgressTable(spark, fresh_folder(spark, "progress"), compact_every=3)
+    reports, folder = progress_reports(spark, sf), fresh_folder(spark, "stream-in")
+    reports.repartition(4).write.parquet(folder)
+    stream = read_events(spark, folder, reports.schema, files_per_batch=1)
+    run_progress(stream, table, fresh_folder(spark, "stream-state"))
+    table.upsert(progress_reports(spark, sf).limit(5), 0)
+    return table.read().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @check(f"with {EVENTS} select session_id, event_id, position_s, prev_position_s from p where abs(position_s - prev_position_s) > 0.5")

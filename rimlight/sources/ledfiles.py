@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimlight.functions.packed import binary_column, byte_rows
 from rimlight.model import (
     BINARY_HEADER_BYTES,
     BINARY_MAGIC,
@@ -27,14 +28,18 @@ from rimlight.sources.files import open_folder, open_path
 
 _HEADER = "<4sf4HB"
 FRAMES_PER_RANGE = 4096
+#: Bytes of light files that one task reads, and of files whose headers one task reads.
+BYTES_PER_TASK = 256 << 20
+BYTES_PER_HEADER_TASK = 16 << 30
 _TITLE_FIELDS = ("item_id", "path", "length", "fps", "top", "bottom", "left", "right", "fmt")
 _TITLE_TYPES = (pa.string(), pa.string(), pa.int64(), pa.float64(),
                 pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
 
-def _tasks(df: DataFrame) -> int:
-    """Explicit task count: rows that only name work are too small for AQE to spread."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tasks(listing: DataFrame, each: int) -> int:
+    """Tasks for rows that only name work, too small for AQE to spread: by the bytes they name."""
+    size = listing.agg(F.sum("length")).first()[0] or 0
+    return max(listing.sparkSession.sparkContext.defaultParallelism, -(-size // each))
 
 
 def led_titles(listing: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def led_titles(listing: DataFrame) -> DataFrame:
 
     return (
         listing.select("item_id", "path", "length")
-        .repartition(_tasks(listing), "path")
+        .repartition(_tasks(listing, BYTES_PER_HEADER_TASK), "path")
         .mapInArrow(run, "item_id string, path string, length bigint, fps double, top int, bottom int, "
                          "`left` int, `right` int, fmt int")
     )
@@ -94,10 +99,10 @@ def led_frames(titles: DataFrame, frames_per_range: int = FRAMES_PER_RANGE) -> D
                     [pa.array([row["item_id"]] * n, pa.string()),
                      pa.array(np.arange(first, first + n)),
                      pa.array(stamps.astype(np.int64)),
-                     pa.array([r.tobytes() for r in raw[:, TIMESTAMP_BYTES:]], pa.binary())],
+                     binary_column(raw[:, TIMESTAMP_BYTES:])],
                     names=["item_id", "frame_idx", "ts_us", "payload"])
 
-    return ranges.repartition(_tasks(titles), "path", "first").mapInArrow(
+    return ranges.repartition(_tasks(titles, BYTES_PER_TASK), "path", "first").mapInArrow(
         run, "item_id string, frame_idx bigint, ts_us bigint, payload binary")
 
 
@@ -110,14 +115,14 @@ def write_led_binaries(frames: DataFrame, titles: DataFrame, folder: str) -> Dat
     """Write one binary per title and return ``(item_id, frames, bytes)``. Runs when acted upon.
 
     The format wants one file per title, so a title is written by one task; its frames are
-    streamed in order and never held together. Each file appears under its name only when it
+    streamed in order and never held together; all payloads of a title are equally long. Each file appears under its name only when it
     is complete, and a repeated task writes it anew.
     """
     header = ["fps", "top", "bottom", "left", "right", "fmt"]
     rows = (
         frames.select("item_id", "frame_idx", "ts_us", "payload")
         .join(titles.select("item_id", *header), "item_id")
-        .repartition(_tasks(frames), "item_id")
+        .repartition("item_id")
         .sortWithinPartitions("item_id", "frame_idx")
     )
 
@@ -133,16 +138,24 @@ def write_led_binaries(frames: DataFrame, titles: DataFrame, folder: str) -> Dat
                 names=["item_id", "frames", "bytes"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["item_id"] != item:
+            names = np.array(batch.column("item_id").to_pylist(), object)
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if names[start] != item:
                     if out is not None:
                         yield close()
-                    item, done, size = row["item_id"], 0, BINARY_HEADER_BYTES
+                    item, done, size = names[start], 0, BINARY_HEADER_BYTES
                     temp = f"{root}/{item}.bin.{uuid.uuid4().hex}.tmp"
                     out = fs.open_output_stream(temp)
-                    out.write(struct.pack(_HEADER, BINARY_MAGIC, *[row[c] for c in header]))
-                out.write(struct.pack("<Q", row["ts_us"]) + row["payload"])
-                done, size = done + 1, size + TIMESTAMP_BYTES + len(row["payload"])
+                    out.write(struct.pack(_HEADER, BINARY_MAGIC, *[part.column(c)[0].as_py() for c in header]))
+                stamps = part.column("ts_us").to_numpy().astype("<u8")
+                payload = byte_rows(part.column("payload"))
+                records = np.concatenate([stamps.view(np.uint8).reshape(-1, TIMESTAMP_BYTES), payload], axis=1)
+                out.write(records.tobytes())
+                done, size = done + len(records), size + records.size
         if out is not None:
             yield close()
 

@@ -1,4 +1,4 @@
-"""Library events: items to extract, binaries to drop, extraction progress."""
+"""Library events: items to extract, binaries to drop."""
 
 from __future__ import annotations
 
@@ -28,9 +28,3 @@ def stream_removed_items(events: DataFrame, binaries: DataFrame) -> DataFrame:
     """Removed items whose binary is still there."""
     removed = item_type_filter(events.where("event = 'removed'"))
     return removed.join(binaries.select("item_id"), "item_id", "left_semi").select("item_id", "name")
-
-
-def stream_progress(reports: DataFrame) -> DataFrame:
-    """Latest report per item of ``(item_id, ts, frames_current, frames_total)``; update mode."""
-    newest = F.max(F.struct("ts", "frames_current", "frames_total")).alias("p")
-    return reports.groupBy("item_id").agg(newest).select("item_id", "p.*")

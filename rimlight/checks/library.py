@@ -11,7 +11,7 @@ from rimlight.operators import backlog as B
 from rimlight.operators.timeline import title_summary
 from rimlight.operators.tree import library_of_item
 from rimlight.plans import extraction
-from rimlight.session import fresh_folder
+from rimlight.session import checkpointed, fresh_folder
 from rimlight.sources import binaries as bins
 from rimlight.sources import catalog as cat
 from rimlight.sources import derived as D
@@ -264,6 +264,25 @@ def led_binary_sink(spark, sf):
     return _exported(spark, sf)[1]
 
 
+@check(f"""with {CATALOG}, {FRAMES} select md5(cast(title_id as varchar)) as item_id, count(*) as frames, 17 + 72 * count(*) as bytes,
+       count(*) as frames_read, max(ts_us) as last_ts_us from vt where md5(cast(title_id as varchar)) in (select item_id from pending) group by title_id""")
+def extract_to_binaries(spark, sf):
+    """Catalog to backlog to zone colours to light binaries under 32-digit ids, and back from the files."""
+    due = extraction.extraction_backlog(
+        D.catalog(spark, sf), D.binaries(spark, sf), D.excluded_libraries(spark, sf), D.source_files(spark, sf))
+    named = F.md5(F.col("title_id").cast("string")).alias("title_id")
+    frames = D.frames(spark, sf, D.SMALL_WIDTH, D.SMALL_HEIGHT).select(named, "frame_idx", "ts_us", "pixels")
+    lights = extraction.extract_lights(frames, due.select(F.col("item_id").alias("title_id")), D.STRIP, D.SMALL_WIDTH, D.SMALL_HEIGHT)
+    lights = lights.withColumnRenamed("title_id", "item_id")
+    titles = lights.select("item_id").distinct().select("item_id", F.lit(24.0).alias("fps"), *[
+        F.lit(getattr(D.STRIP, c)).alias(c) for c in ("top", "bottom", "left", "right")], F.lit(1).alias("fmt"))
+    folder = fresh_folder(spark, "extracted")
+    report = checkpointed(ledfiles.write_led_binaries(lights, titles, folder))
+    read = ledfiles.led_binary_scan(bins.binary_listing(spark, folder)).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("frames_read"), F.max("ts_us").alias("last_ts_us"))
+    return report.join(read, "item_id")
+
+
 @check(f"""with {FRAMES} select md5(cast(title_id as varchar)) as item_id, 17 + 72 * count(*) as length
        from v group by title_id""")
 def binary_listing(spark, sf):

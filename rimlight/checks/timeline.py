@@ -11,7 +11,9 @@ from rimlight.model import Tuning
 from rimlight.operators import timeline as TL
 from rimlight.operators import tone
 from rimlight.operators.display_kernel import smooth_frames as run_kernel
+from rimlight.session import fresh_folder
 from rimlight.sources import derived as D
+from rimlight.sources import indexed
 
 # floor, boosts and channel gammas all at work
 STRONG = Tuning(smooth_s=0.25, gamma=2.6, saturation=1.7, brightness_target=80.0, gamma_red=1.2, gamma_green=0.9,
@@ -132,19 +134,33 @@ def complete_payloads(spark, sf):
     return TL.complete_payloads(cut, D.led_titles(spark, sf)).select("title_id", "frame_idx")
 
 
-@check(f"""with {FRAMES}, l as (select event_id, cast(user_id % 10 as int) as title_id, cast(floor(value * 1e4) as bigint) as target_us from events),
+_SEEKS = f"""with {FRAMES}, l as (select event_id, cast(user_id % 10 as int) as title_id, cast(floor(value * 1e4) as bigint) as target_us from events),
        w as (select distinct title_id, target_us from l),
        ends as (select title_id, max(frame_idx) as last from v group by title_id),
        hit as (select w.title_id, w.target_us, min(t.frame_idx) as frame_idx
                from w left join vt t on t.title_id = w.title_id and t.ts_us >= w.target_us group by all)
        select event_id, l.title_id, l.target_us, coalesce(hit.frame_idx, last) as frame_idx
-       from l join hit using (title_id, target_us) join ends on ends.title_id = l.title_id""")
-def seek_frame(spark, sf):
-    lookups = D.table(spark, sf, "events").select(
+       from l join hit using (title_id, target_us) join ends on ends.title_id = l.title_id"""
+
+
+def _lookups(spark, sf):
+    return D.table(spark, sf, "events").select(
         "event_id", (F.col("user_id") % 10).cast("int").alias("title_id"),
         F.floor(F.col("value") * 1e4).cast("long").alias("target_us"))
+
+
+@check(_SEEKS)
+def seek_frame(spark, sf):
     # short buckets, so that answers lie in the same, a later or no bucket
-    return TL.seek_frame(D.led_frames(spark, sf), lookups, bucket_us=100_000)
+    return TL.seek_frame(D.led_frames(spark, sf), _lookups(spark, sf), bucket_us=100_000)
+
+
+@check(_SEEKS)
+def seek_indexed(spark, sf):
+    """The same through a stored seek index; frames are read only of intervals that a position falls into."""
+    path = fresh_folder(spark, "indexed")
+    indexed.write_indexed_frames(D.led_frames(spark, sf), path, every_us=100_000)
+    return indexed.seek_indexed(spark, path, _lookups(spark, sf))
 
 
 # ---- tone -----------------------------------------------------------------------------------

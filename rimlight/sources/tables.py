@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_light_frames(frames: DataFrame, path: str, mode: str = "errorifexists") -> None:
+#: Rows of a Parquet page of light frames: the least that a filtered scan reads of a file.
+PAGE_ROWS = 1024
+
+
+def write_light_frames(frames: DataFrame, path: str, mode: str = "errorifexists", page_rows: int = PAGE_ROWS) -> None:
     order = ["title_id", "frame_idx"]
-    frames.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).parquet(path)
+    frames.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option(
+        "parquet.page.row.count.limit", str(page_rows)).parquet(path)
 
 
 def read_light_frames(

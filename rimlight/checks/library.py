@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from rimlight.checks.registry import check
@@ -15,7 +17,7 @@ from rimlight.session import checkpointed, fresh_folder
 from rimlight.sources import binaries as bins
 from rimlight.sources import catalog as cat
 from rimlight.sources import derived as D
-from rimlight.sources import ledfiles, metadata
+from rimlight.sources import ledfiles, lightsource, metadata
 
 _NOW_SQL = "timestamp '2024-06-01 00:00:00'"
 
@@ -264,6 +266,20 @@ def led_binary_sink(spark, sf):
     return _exported(spark, sf)[1]
 
 
+@check(f"""with {SAMPLES} select md5(cast(title_id as varchar)) as item_id, frame_idx, ts_us, payload_hex from led_frames
+       where title_id in (2, 5) and frame_idx >= 3 and frame_idx < 40""")
+def light_binaries_source(spark, sf):
+    """Written by several tasks through the data source and read back through its filters."""
+    named = F.md5(F.col("title_id").cast("string")).alias("item_id")
+    folder = fresh_folder(spark, "light-source")
+    lightsource.save_light_binaries(
+        D.led_frames(spark, sf).select(named, "frame_idx", "ts_us", "payload"),
+        D.led_titles(spark, sf).select(named, "fps", "top", "bottom", "left", "right", "fmt"), folder)
+    two = [hashlib.md5(str(i).encode()).hexdigest() for i in (2, 5)]
+    rows = lightsource.read_light_binaries(spark, folder).where(F.col("item_id").isin(two) & (F.col("frame_idx") >= 3) & (F.col("frame_idx") < 40))
+    return rows.select("item_id", "frame_idx", "ts_us", F.hex("payload").alias("payload_hex"))
+
+
 @check(f"""with {CATALOG}, {FRAMES} select md5(cast(title_id as varchar)) as item_id, count(*) as frames, 17 + 72 * count(*) as bytes,
        count(*) as frames_read, max(ts_us) as last_ts_us from vt where md5(cast(title_id as varchar)) in (select item_id from pending) group by title_id""")
 def extract_to_binaries(spark, sf):

@@ -9,6 +9,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+NAMES_PER_BATCH = 10_000
+
+
 def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder, created if missing."""
     system, path = open_path(folder)
@@ -30,6 +33,7 @@ def empty_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
             fs, root = open_path(folder)
             names = [f.base_name.removesuffix(suffix) for f in fs.get_file_info(pafs.FileSelector(root))
                      if f.is_file and f.size == 0 and f.base_name.endswith(suffix)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["item_id"])
+            for at in range(0, len(names), NAMES_PER_BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at:at + NAMES_PER_BATCH], pa.string())], names=["item_id"])
 
     return spark.range(0, 1, 1, 1).mapInArrow(run, "item_id string")

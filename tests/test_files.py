@@ -6,9 +6,10 @@ import struct
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, LessThan
 
 from rimlight import session
-from rimlight.sources import binaries, ledfiles, metadata
+from rimlight.sources import binaries, ledfiles, lightsource, metadata
 
 
 def led_file(path, magic=b"AMb2", fps=24.0, counts=(1, 1, 0, 0), fmt=0, frames=3, tail=b""):
@@ -89,3 +90,47 @@ def test_shared_folder_is_the_configured_one(spark):
     rows = session.checkpointed(spark.range(5).select((F.col("id") * 2).alias("v")))
     assert rows.count() == 5
     assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(configured)
+
+
+TITLE = "item_id string, fps double, top int, bottom int, left int, right int, fmt int"
+
+
+def many_frames(spark, counts):
+    rows = [(item, i, i * 40_000, bytearray([i % 256] * 6)) for item, n in counts.items() for i in range(n)]
+    titles = spark.createDataFrame([(item, 25.0, 1, 1, 0, 0, 0) for item in counts], TITLE)
+    return spark.createDataFrame(rows, "item_id string, frame_idx long, ts_us long, payload binary"), titles
+
+
+def test_source_joins_the_ranges_of_a_title(spark, tmp_path):
+    frames, titles = many_frames(spark, {"long": 5000, "short": 3, "one": 1})
+    lightsource.save_light_binaries(frames, titles, str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == ["long.bin", "one.bin", "short.bin"]
+    assert os.path.getsize(tmp_path / "long.bin") == 17 + 5000 * 14
+    for range_bytes in (100, 10_000, 1 << 26):
+        back = lightsource.read_light_binaries(spark, str(tmp_path), range_bytes)
+        assert back.exceptAll(frames).isEmpty() and back.count() == 5004
+
+
+def test_source_opens_what_a_filter_needs(spark, tmp_path):
+    frames, titles = many_frames(spark, {"a": 40, "b": 40, "c": 40})
+    lightsource.save_light_binaries(frames, titles, str(tmp_path))
+    (tmp_path / "a.bin").write_bytes(b"AMb2" + b"\xff" * 40)  # no reader could take this
+    back = lightsource.read_light_binaries(spark, str(tmp_path))
+    rows = back.where((F.col("item_id") == "b") & (F.col("frame_idx") > 5) & (F.col("frame_idx") <= 8)).collect()
+    assert sorted((r.item_id, r.frame_idx, r.ts_us) for r in rows) == [("b", i, i * 40_000) for i in (6, 7, 8)]
+    reader = lightsource._Reader(str(tmp_path), 1 << 20)
+    left = list(reader.pushFilters([EqualTo(("item_id",), "c"), LessThan(("frame_idx",), 10), EqualTo(("ts_us",), 0)]))
+    assert [type(f).__name__ for f in left] == ["EqualTo"] and [f[0] for p in reader.partitions() for f in p.files] == ["c.bin"]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 10
+
+
+def test_aborted_write_leaves_no_file(spark, tmp_path):
+    frames, titles = many_frames(spark, {"a": 500, "b": 500})
+    broken = frames.withColumn("payload", F.when((F.col("item_id") == "b") & (F.col("frame_idx") == 400), F.expr("raise_error('no')").cast("binary")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="no"):
+        lightsource.save_light_binaries(broken, titles, str(tmp_path))
+    assert [n for n in os.listdir(tmp_path) if not n.startswith(".")] == []
+    twice = frames.unionByName(frames.where("item_id = 'a' and frame_idx = 7"))
+    with pytest.raises(Exception, match="overlap"):
+        lightsource.save_light_binaries(twice, titles, str(tmp_path))
+    assert [n for n in os.listdir(tmp_path) if n.endswith(".bin")] == []

@@ -1,13 +1,13 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Language ID drops documents without a known language; the Jaccard join keeps the smallest id of each group
+Language ID drops documents whose words are not of the learned languages; the Jaccard join keeps the smallest id of each group
 of near copies; decontamination drops documents that cover a benchmark item; mixing repeats and drops
 documents until sources have their target sizes; the last stage writes token ids and returns their index.
 
 Every stage passes on all columns and rows that it does not decide against, in any column types; stages read
 ``doc_id``, ``text``, ``lang`` and ``source`` and give null, empty and repeated rows the results that the
-operators define. Rows without an id have no near copies. Of rows that share an id one stays in the near-copy
-stage: the one whose text has the smallest hash.
+operators define. Rows without an id have no near copies. Of rows with one id and one text the near-copy stage keeps one;
+unlike texts under one id are documents of their own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimlight.llm import decontam, jaccard_join, langid, mixing, token_store
@@ -40,18 +40,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
+    """One document, the one with the smallest id, of each group of near copies. Texts that are not linked all stay, under one id too."""
     ready(spark)
-    groups = stored(jaccard_join.similar_groups(docs), "groups")
-    gone = stored(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
-    again = stored(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    n = _new(docs, "n")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    once = kept.join(again, "doc_id", "left_semi").withColumn(n, first).where(F.col(n) == 1).select(docs.columns)
-    return kept.join(broadcast_if_small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = _replaced(docs, "doc_id")
+        return docs.join(broadcast_if_small(gone), docs["doc_id"] == gone["gone"], "left_anti").select(docs.columns)
+    # ids do not tell rows apart: every (id, text) gets a number of its own, in their order
+    h, g, row = (_new(docs, n) for n in ("h", "g", "row"))
+    hashed = named.withColumns({h: F.xxhash64("text"), g: F.xxhash64(F.lit("row"), "text")})
+    order = ["doc_id", h, g]
+    rows = stored(hashed.select(order).distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        row, F.monotonically_increasing_id()), "rows")
+    numbered = stored(hashed.join(rows, order), "numbered")
+    gone = _replaced(numbered, row)
+    kept = numbered.join(broadcast_if_small(gone), numbered[row] == gone["gone"], "left_anti")
+    return kept.dropDuplicates([row]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _replaced(docs: DataFrame, key: str) -> DataFrame:
+    """``gone``: keys of documents for which one with a smaller key stays."""
+    groups = jaccard_join.similar_groups(docs, doc_id=key)
+    return stored(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,9 @@ EXCERPT_WORDS = 60
 #: A word is in the lexicon if so many excerpts have it.
 LEXICON_DOCS = 3
 DOCS_AT_ONCE = 512
+#: Mean share of known features below which a text is in none of the learned languages: their own texts have 0.97 and more,
+#: other scripts below 0.3, strings of rare consonants about 0.67.
+LEAST_FAMILIAR = 0.7
 UNKNOWN = "und"
 
 
@@ -100,9 +103,40 @@ def classify(model: crf.Field | None, texts: list[str | None]) -> tuple[list[str
     return names, shares
 
 
-def keep_known(docs: DataFrame, model: crf.Field | None, text: str = "text") -> DataFrame:
-    """The documents with a known language, in however many languages their words are; columns as they were."""
-    lang, score = "lang_pred", "score"
-    while {lang, score} & set(docs.columns):
-        lang, score = lang + "_", score + "_"
-    return predict(docs, model, text, lang, score).where(F.col(lang) != UNKNOWN).drop(lang, score)
+class Familiarity:
+    """How much of a word the field has learned: the share of its features that have a weight."""
+
+    def __init__(self, model: crf.Field) -> None:
+        self.seen, self.lexicon = (model.weights != 0).any(axis=1), model.lexicon
+        self.known: dict[str, float] = {}
+
+    def of(self, words: list[str]) -> float:
+        """The mean over the words of a text."""
+        if len(self.known) > crf.MAX_WORDS:
+            self.known = {}
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        for a in range(0, len(new), 20_000):
+            codes, at = crf.features(new[a:a + 20_000], self.lexicon)
+            shares = np.add.reduceat(self.seen[codes].astype(np.float64), at) / np.diff(np.append(at, len(codes)))
+            self.known.update(zip(new[a:a + 20_000], shares.tolist()))
+        return sum(map(self.known.__getitem__, words)) / len(words)
+
+
+def keep_known(docs: DataFrame, model: crf.Field | None, text: str = "text", least: float = LEAST_FAMILIAR) -> DataFrame:
+    """The documents that the field labels and whose words it knows, in however many languages they are; columns as they were.
+
+    A field puts some label on any word. Text in a language or script that was not learned, and gibberish, shows by
+    its features: words of learned languages have almost all of theirs in the field.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, familiar = shared.value, shared.value and Familiarity(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                texts = part.column(text).to_pylist()
+                names, _ = classify(field, texts)
+                yield part.filter(pa.array([n != UNKNOWN and familiar.of(crf.words(t)) >= least for n, t in zip(names, texts)], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)

@@ -140,8 +140,20 @@ def test_the_language_stage_keeps_evenly_mixed_documents(spark, tmp_path):
     words = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
     docs = [(i, words(lang, 40), lang) for i in range(300) for lang in [list(parts)[i % 3]]]
     docs += [(1000, " ".join(words(lang, 33) for lang in parts), None), (1001, f"{words('en', 40)} {words('de', 30)} {words('fr', 30)}", None), (1002, "12 !!", None)]
+    docs += [(1003, "Καλημέρα κόσμε τι κάνεις σήμερα", None), (1004, "Привет мир как дела сегодня", None), (1005, "qzxv bbb kkkwj vvv", None)]
     kept = corpus_pipeline.language_id(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string"), str(tmp_path))
-    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {1002}
+    assert {r.doc_id for r in kept.collect()} == {d[0] for d in docs} - {1002, 1003, 1004, 1005}
+
+
+def test_near_copies_tell_rows_of_one_id_apart(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    a, b, c = text(60), text(60), text(60)
+    docs = [(1, a, "first"), (1, b, "unlike"), (2, a + " end", "near"), (3, b, "copy"), (4, c, "own"), (4, c, "own"), (None, a, "no id"), (5, None, "null"), (5, None, "null"),
+            (5, "", "empty")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row string").repartition(3)
+    kept = corpus_pipeline.near_copies(spark, df, str(tmp_path))
+    assert sorted(r.row for r in kept.collect()) == ["empty", "first", "no id", "null", "own", "unlike"] and kept.columns == df.columns
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)

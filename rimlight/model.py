@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 # ---- fixed values -------------------------------------------------------------------------
-# They have to equal those of existing data files and players.
+# They have to equal those of existing data files, documents and players; defaults of the two records and the keys included.
 BINARY_MAGIC = b"AMb2"
 BINARY_HEADER_BYTES = 17  # magic, f32 fps, 4 x u16 counts, u8 format
 TIMESTAMP_BYTES = 8
@@ -28,7 +28,6 @@ LUMA_WEIGHTS = (2126, 7152, 722)  # ten-thousandths
 EDGE_SHARE = 0.7
 CENTRE_SHARE = 0.3
 MIN_PIXEL_WEIGHT = 0.01
-# --------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -95,6 +94,7 @@ METADATA_KEYS = {
     "frames_current": "ExtractionFramesCurrent",
     "frames_total": "ExtractionFramesTotal",
 }
+# --------------------------------------------------------------------------------------------
 
 METADATA_SCHEMA = T.StructType([
     T.StructField("item_id", T.StringType()),

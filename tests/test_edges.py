@@ -66,12 +66,13 @@ def test_an_error_wins_over_written_frames(spark, sf_dir):
 def test_short_payloads_are_left_out_of_the_display(spark, sf_dir):
     frames = D.led_frames(spark, sf_dir)
     cut = frames.withColumn("payload", F.when(F.col("frame_idx") % 10 == 3, F.substring("payload", 1, 7)).otherwise(F.col("payload")))
-    starts = spark.createDataFrame([(1, 4, 0.0)], "session_id bigint, title_id int, start_s double")
+    events = spark.createDataFrame([(1, 1, 4, "start", 0.0, False)], "session_id bigint, event_id bigint, title_id int, kind string, position_s double, is_paused boolean"
+                                   ).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
     sessions = spark.createDataFrame([(1, "", "Den")], "session_id long, device_id string, device_name string")
     from rimlight.model import MAPPING_SCHEMA
 
     mappings = spark.createDataFrame([(0, "den", "h", 1, 1, 1, 1, 1, 0)], MAPPING_SCHEMA)
-    shown = display.display_frames(starts, sessions, mappings, D.led_titles(spark, sf_dir), cut)
+    shown = display.display_frames(events, sessions, mappings, D.led_titles(spark, sf_dir), cut)
     got = {r.frame_idx for r in shown.select("frame_idx").collect()}
     assert got and not [i for i in got if i % 10 == 3]
     plan = shown._jdf.queryExecution().executedPlan().toString()

@@ -1,17 +1,20 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its five-word shingles. Two sets of sizes r <= s with a Jaccard similarity of
-0.8 or more differ in at most (r + s) / 9 shingles, and s <= 1.25 r. Sizes are cut into bands so narrow
+0.8 or more differ in at most k = (r + s) / 9 shingles, and s <= 1.25 r. Sizes are cut into bands so narrow
 that a set meets its partners in its own band or the one below. For each band the shingle domain is
-divided into more partitions than two sets of that band may differ in; so at least one partition holds
-the same shingles of both. A signature is the hash of a band, a partition and the shingles in it.
-
-Partitions with few shingles tell little: the empty ones nothing, and one that holds a single shingle of
-a widely used line is shared by many documents that have nothing else in common. Only partitions of two
-or more shingles are signatures (one in the bands of small sets). There are some more partitions than
-needed, so that nearly every set fills more of them than it may differ in; then one of these is equal in
-any set similar to it. The few sets that do not, emit all their partitions, empty ones as well; of two
-similar sets both must be of that kind to need it.
+divided twice: into more than k / 2 partitions, and each of these into three parts. Two similar sets
+differ by less than two shingles in some partition, so at least two of its three parts are the same in
+both. A signature is the hash of a band, a partition, a pair of its parts and the shingles in these: three
+signatures a partition, of four to five shingles each.
+
+Signatures of few shingles tell little: the empty ones nothing, and one that holds a single shingle of
+a widely used line is shared by many documents that have nothing else in common. Only those of two
+or more shingles are used (of one in the bands of small sets). What it costs to leave no telling signature
+of a partition in common is then two differences where all three are telling, one where some are, none
+where none is; there are some more partitions than needed, so that these costs exceed k in nearly every set.
+Where they do, a telling signature is shared by any similar set. The few other sets emit all their
+signatures, empty ones as well; of two similar sets both must be of that kind to need it.
 
 Steps, each a Spark job over all rows:
 
@@ -19,9 +22,11 @@ Steps, each a Spark job over all rows:
    equal keys are one class;
 2. signatures, of one text per key and task, travel packed in blocks; each block group finds the
    signatures of two or more texts (a bucket);
-3. every member of a bucket is compared with one representative: first the histograms, which bound
-   the number of shared shingles from above, then, if they allow it, the shingle sets, exactly;
-4. buckets that still hold members of different components are compared pair by pair in that way;
+3. every member of a bucket is compared with one representative, the member that occurs in most buckets (copies
+   meet their original more often than each other): first the histograms, which bound the number of
+   shared shingles from above, then, if they allow it, the shingle sets, exactly;
+4. buckets that still hold members of different components are compared pair by pair in that way, in
+   blocks of bounded size, each pair of blocks a group of its own;
 5. verified links, and membership in classes, give the components.
 
 Links inside a component need not be enumerated; a pair is skipped only if it is connected already or
@@ -53,7 +58,7 @@ PERCENT = 80
 GROUP_SIGNATURES = 500_000
 #: Signatures that a task packs at once.
 PACKED = 1_000_000
-#: Members of one comparison group.
+#: Members of one comparison group, and of one block of a bucket.
 MEMBERS = 500
 #: Shingles (8 bytes each) of the texts that are compared within one group.
 GROUP_SHINGLES = 3_000_000
@@ -61,10 +66,12 @@ GROUP_SHINGLES = 3_000_000
 TABLE_BYTES, PAIRS_AT_ONCE = 16 << 20, 8_000
 #: Cells of a set's histogram, one byte each.
 CELLS = 256
-#: Bands up to this size take partitions of a single shingle as signatures.
+#: Bands up to this size take signatures of a single shingle.
 SMALL = 64
 #: Bits of the sieve that spares most documents a shuffle; beyond its reach more pass, the result is the same.
 SIEVE_BITS = 1 << 24
+#: Parts of a partition, of which two similar sets differ in one at most in some partition.
+PARTS = 3
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,10 +108,10 @@ class Bands:
         return int(np.searchsorted(self.high, size))
 
     def plan(self, band: int) -> tuple[int, int, int]:
-        """How far two sets may differ, the number of partitions, and the least shingles of a telling one."""
+        """How far two sets may differ, the number of partitions, and the least shingles of a telling signature."""
         top = self.high[band]
         most = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-        return (most, 2 * top, 1) if top <= SMALL else (most, (most + 1) * 27 // 20 + 3, 2)
+        return most, (most // 2 + 1) * 6 // 5 + 2, 1 if top <= SMALL else 2
 
     def signatures(self, members: np.ndarray) -> np.ndarray:
         band = self.of(len(members))
@@ -112,18 +119,19 @@ class Bands:
         for b in (band, band - 1):
             if b < 1 or len(members) * self.percent > self.high[b] * 100:
                 continue
-            differ, parts, least = self.plan(b)
+            differ, partitions, least = self.plan(b)
+            parts = PARTS * partitions
             place = ((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as members are
             filled, first, counts = np.unique(place, return_index=True, return_counts=True)
-            body = np.add.reduceat(_mixed(members ^ np.uint64(b)), first)
+            body, held = np.zeros(parts, np.uint64), np.zeros(parts, np.int64)
+            body[filled], held[filled] = np.add.reduceat(_mixed(members ^ np.uint64(b)), first), counts
+            # a signature leaves out one part of its partition
+            body, held = (x.reshape(partitions, PARTS).sum(axis=1, keepdims=True, dtype=x.dtype) - x.reshape(partitions, PARTS) for x in (body, held))
             seed = _mixed(np.array([b], np.uint64))[0]
-            sigs = _mixed(body ^ _mixed(filled * _MULTIPLIER ^ seed))
-            telling = counts >= least
-            if telling.sum() > differ:
-                out.append(sigs[telling])
-            else:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                out += [sigs, _mixed(_mixed(empty * _MULTIPLIER ^ seed) + np.uint64(1))]
+            sigs = _mixed(body.ravel() ^ _mixed(np.arange(parts, dtype=np.uint64) * _MULTIPLIER ^ seed))
+            telling = held >= least
+            cost = telling.any(axis=1).sum() + telling.all(axis=1).sum()
+            out.append(sigs[telling.ravel()] if cost > differ else sigs)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -201,7 +209,7 @@ def _pack(groups: int):
 
 
 def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Signatures of several texts: ``sig``, the representative ``rep`` and the sorted ``ids``, each set of ids once."""
+    """Signatures of several texts: ``sig`` and the sorted ``ids``, each set of ids once."""
     short = np.frombuffer(b"".join(pdf["sigs"]), np.uint8).reshape(-1, 5)
     sig = np.zeros((len(short), 8), np.uint8)
     sig[:, 3:] = short
@@ -215,7 +223,6 @@ def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
     at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, int)
-    rank = _mixed(doc.astype(np.uint64))
     rows, known = [], set()
     for a, e in zip(at.tolist(), np.append(at[1:], len(sig)).tolist()):
         ids = np.unique(doc[a:e])
@@ -223,8 +230,29 @@ def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(ids) < 2 or mark in known:
             continue
         known.add(mark)
-        rows.append((int(sig[a].astype(np.int64)), int(doc[a:e][rank[a:e].argmin()]), ids))
-    return pd.DataFrame(rows, columns=["sig", "rep", "ids"])
+        rows.append((int(sig[a].astype(np.int64)), ids))
+    return pd.DataFrame(rows, columns=["sig", "ids"])
+
+
+def _with_representatives(buckets: DataFrame) -> DataFrame:
+    """``sig``, ``rep``, ``n`` (members) and ``id`` of the members of all buckets; the representative is in most buckets of all members."""
+    member = buckets.select("sig", F.size("ids").alias("n"), F.explode("ids").alias("id"))
+    often = member.groupBy("id").agg(F.count(F.lit(1)).alias("w"))
+    rep = member.join(often, "id").groupBy("sig").agg(F.max_by("id", F.struct("w", F.xxhash64("id"), "id")).alias("rep"))
+    return stored(member.join(rep, "sig").select("sig", "rep", "n", "id"), "members")
+
+
+def _unsettled(member: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Members of buckets with several components, dealt to pairs of blocks (``pair``; ``side`` is 0 within one block)."""
+    rest = stored(member.where(F.col("n") > 2).join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "rest")
+    several = rest.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
+    blocks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    dealt = (rest.join(several, "sig", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    facts = rows.select(F.col("doc_id").alias("id"), "n_shingles", "cells")
+    pair = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.join(facts, "id").select(pair.alias("pair"), side.alias("side"), "rep", "id", "component", "n_shingles", "cells")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -365,44 +393,44 @@ def _dense_links(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
 
 
 def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within buckets (rows come sorted by them) in different components that were not compared yet and may be similar."""
+    """Pairs within pairs of blocks (rows come sorted by them) in different components that were not compared yet and may be similar."""
     known: set[tuple[int, int]] = set()
     held: list[pa.RecordBatch] = []
 
-    def compared(table: pa.Table) -> pa.RecordBatch:
-        sig, rep, ids, comp, size = (table.column(c).to_numpy() for c in ("sig", "rep", "id", "component", "n_shingles"))
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        pair, side, rep, ids, comp, size = (table.column(c).to_numpy() for c in ("pair", "side", "rep", "id", "component", "n_shingles"))
         cells = _cells(table.column("cells").to_pylist())
-        at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        pairs = []
-        for a, e in zip(at.tolist(), np.append(at[1:], len(sig)).tolist()):
+        at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        for a, e in zip(at.tolist(), np.append(at[1:], len(pair)).tolist()):
             if (comp[a:e] == comp[a]).all():
                 continue
-            inner = np.arange(a, e)[ids[a:e] != rep[a]]  # the representative was compared with all
+            fresh: dict[tuple[int, int], None] = {}
+            inner = np.arange(a, e)[ids[a:e] != rep[a:e]]  # the representative was compared with all
             for n, k in enumerate(inner[:-1].tolist()):
                 other = inner[n + 1:]
-                other = other[comp[other] != comp[k]]
+                other = other[(comp[other] != comp[k]) & ((side[other] == 0) | (side[other] != side[k]))]
                 if len(other):
                     other = other[_may_be_similar(cells[k], size[k], cells[other], size[other])]
-                    pairs += [(min(x), max(x)) for x in zip([ids[k].item()] * len(other), ids[other].tolist())]
-        fresh = [x for x in dict.fromkeys(pairs) if x not in known]
-        if len(known) > 100_000:
-            known.clear()
-        known.update(fresh)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in fresh], pa.int64()), pa.array([x for _, x in fresh], pa.int64())], names=["rep", "id"])
+                    fresh.update(dict.fromkeys((min(x), max(x)) for x in zip([ids[k].item()] * len(other), ids[other].tolist())))
+            new = [x for x in fresh if x not in known]
+            if len(known) > 100_000:
+                known.clear()
+            known.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([x for _, x in new], pa.int64())], names=["rep", "id"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = batch.column("sig").to_numpy()
-        last = int(np.searchsorted(sig == sig[-1], True)) if sig[0] != sig[-1] else 0
-        if last or (held and held[-1].column("sig")[-1].as_py() != sig[0]):  # a bucket ends in this batch
+        pair = batch.column("pair").to_numpy()
+        last = int(np.searchsorted(pair == pair[-1], True)) if pair[0] != pair[-1] else 0
+        if last or (held and held[-1].column("pair")[-1].as_py() != pair[0]):  # a pair of blocks ends in this batch
             if last:
                 held.append(batch.slice(0, last))
-            yield compared(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
             held = []
         held.append(batch.slice(last))
     if held:
-        yield compared(pa.Table.from_batches(held))
+        yield from compared(pa.Table.from_batches(held))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -412,10 +440,9 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     groups = max(1, -(-total // (2 * GROUP_SIGNATURES)))
     packed = docs.mapInArrow(_pack(groups), "part int, sigs binary, ids binary")
-    buckets = packed.groupBy("part").applyInPandas(_buckets, "sig long, rep long, ids array<long>")
-    buckets = buckets.groupBy(F.xxhash64("ids").alias("mark")).agg(F.first("sig").alias("sig"), F.first("rep").alias("rep"), F.first("ids").alias("ids"))
-    buckets = stored(buckets.drop("mark"), "buckets")
-    member = buckets.select("sig", "rep", F.size("ids").alias("n"), F.explode("ids").alias("id"))
+    buckets = packed.groupBy("part").applyInPandas(_buckets, "sig long, ids array<long>")
+    buckets = buckets.groupBy(F.xxhash64("ids").alias("mark")).agg(F.first("sig").alias("sig"), F.first("ids").alias("ids"))
+    member = _with_representatives(stored(buckets.drop("mark"), "buckets"))
     links = _possible_links(member.where(F.col("id") != F.col("rep")).select("rep", "id"), rows, docs)
 
     classes = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "key")
@@ -424,10 +451,8 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     known = same.unionByName(links)
     found = components(known)
 
-    facts = rows.select(F.col("doc_id").alias("id"), "n_shingles", "cells")
-    rest = (member.where(F.col("n") > 2).join(found, "id", "left").join(facts, "id")
-            .select("sig", "rep", "id", F.coalesce("component", "id").alias("component"), "n_shingles", "cells"))
-    rest = stored(rest.repartition("sig").sortWithinPartitions("sig").mapInArrow(_left_over, "rep long, id long").distinct(), "rest")
+    rest = _unsettled(member, found, rows).repartition("pair").sortWithinPartitions("pair")
+    rest = stored(rest.mapInArrow(_left_over, "rep long, id long").distinct(), "left")
     if not rest.isEmpty():
         found = components(known.unionByName(_dense_links(rest, rows, docs)))
     return (rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")

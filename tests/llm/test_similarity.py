@@ -75,6 +75,16 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+def test_buckets_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    crowd = [base[:75] + changed(rng, base[75:], n) for n in [3] * 10 + [6] * 10]  # copies of one text that is not there
+    docs = list(enumerate(" ".join(changed(rng, words, n)) for words in crowd for n in (0, 1)))
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_components(docs) and len(set(got.values())) > 1
+
+
 def test_no_documents(spark):
     assert jaccard_join.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -76,7 +76,7 @@ def edge_norm(spark, sf):
        select layout_id, led_idx, count(*) as pixels, round(sum(weight * (x + 2 * y + 1)), 4) as weight, round(min(weight), 9) as low from c group by all""")
 def center_weight(spark, sf):
     """Weights of all pixels of every zone of every layout, summed up with their places."""
-    z = Z.zone_rects(D.layouts(spark, sf)).where("x2 > x1 and y2 > y1").select(
+    z = Z.zone_rects(Z.dealt_layouts(D.layouts(spark, sf))).where("x2 > x1 and y2 > y1").select(
         "layout_id", "led_idx", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
     p = z.withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, w - 1)")))
     weight = color.center_weight(F.col("x"), F.col("y"), F.col("w"), F.col("h"))

@@ -16,6 +16,8 @@ from rimlight.model import MAX_ZONE_DEPTH_SHARE, MIN_ZONE_DEPTH, Layout
 ZONE = ("title_id", "frame_idx", "led_idx")
 # A zone map is bounded by the frame, not by the data; larger maps are joined by shuffle.
 MAX_BROADCAST_ZONE_PIXELS = 2_000_000
+# Pixels of the layouts that one task spreads out; a layout has no more zone pixels than four times its own.
+PIXELS_PER_TASK = 100_000_000
 
 
 def _depth(length: Column, count: Column, across: Column) -> Column:
@@ -69,6 +71,14 @@ def zone_rects(layouts: DataFrame) -> DataFrame:
     )
 
 
+def dealt_layouts(layouts: DataFrame) -> DataFrame:
+    """The layouts, dealt out by ``layout_id`` for work on all of their pixels: a few bytes a layout become up to millions of
+    rows, so the number of tasks follows from the pixels and not from the size of the table."""
+    pixels = layouts.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
+    tasks = max(layouts.sparkSession.sparkContext.defaultParallelism, -(-pixels // PIXELS_PER_TASK))
+    return layouts.repartition(tasks, "layout_id")
+
+
 def layout_frame(spark: SparkSession, layout: Layout, width: int, height: int) -> DataFrame:
     """One-row layout table."""
     return spark.range(1).select(

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from rimlight.checks import QUERIES
 from rimlight.operators import tone
+from rimlight.operators import zones as Z
 
 
 def one_file(spark, path, rows, schema):
@@ -28,3 +30,19 @@ def test_resampling_one_light_takes_many_tasks(spark, tmp_path, monkeypatch):
     expected = [(1, f, k, t, 0, 7) for f in frames for k in [k // 2 for k in range(20)] + [None] for t in range(3)]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert tasks_of(out) > 4
+
+
+def test_layouts_of_one_file_are_dealt_out(spark, tmp_path, monkeypatch):
+    rows = [(k % 9 if k < 11 else None, 40, 30, 3, 0, 2, 1) for k in range(12)] + [(20, None, 30, 1, 1, 1, 1)]
+    layouts = one_file(spark, tmp_path / "l", rows, "layout_id int, width int, height int, top int, bottom int, left int, right int")
+    dealt = Z.dealt_layouts(layouts)
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, layouts.collect()))
+    assert tasks_of(layouts) == 1 and tasks_of(dealt) > 2
+    monkeypatch.setattr(Z, "PIXELS_PER_TASK", 500)
+    assert Z.dealt_layouts(layouts).rdd.getNumPartitions() == 29  # 12 layouts of 1,200 pixels
+
+
+def test_center_weight_takes_many_tasks(spark, sf_dir):
+    """Pixels are spread out after the layouts are dealt, and summed up without another exchange."""
+    plan = QUERIES["center_weight"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(layout_id") == 1 and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")

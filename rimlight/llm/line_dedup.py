@@ -21,8 +21,11 @@ BROADCAST_KEYS = 500_000
 
 
 def _line_key(line: Column, min_chars: int) -> Column:
-    key = lower_ascii(F.btrim(line, F.lit(SPACE)))
-    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit("line"), key).alias("g")))
+    # arrays of one give the stripped line and the key a name: each is worked out once, not at every use of it
+    key = F.transform(F.array(F.btrim(line, F.lit(SPACE))), lower_ascii)
+    hashes = F.transform(key, lambda k: F.when(
+        F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h"), F.xxhash64(F.lit("line"), k).alias("g"))))
+    return F.get(hashes, F.lit(0))
 
 
 def _lines(text: Column) -> Column:

@@ -19,15 +19,17 @@ labels of a document count as 1 if any is 1; null ids teach nothing; rows are an
 
 from __future__ import annotations
 
+import hashlib
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from rimlight.llm import labelled
 from rimlight.llm.blockmax import BlockMaxIndex
@@ -39,19 +41,22 @@ FAMILY = (2, 3)
 PER_LABEL = 6_000
 EXAMPLES = 2_000
 NEIGHBOURS = 25
-#: Different terms counted in one go before they are handed on.
+#: Different terms counted in one go before they are handed on, and words whose terms a task keeps.
 HELD_TERMS = 200_000
 #: Texts whose common terms are multiplied in one go.
 AT_ONCE = 64
+#: Texts that are encoded or answered in one go, and answered texts that a task keeps for their copies.
+DOCS_AT_ONCE = 256
+KNOWN_TEXTS = 5_000
 
 
-def term_counts(text: str | None, wanted: set[str] | None = None) -> Counter:
-    """Terms of a text and how often they occur; with ``wanted``, only beginnings in that set are looked at."""
+def term_counts(text: str | None) -> Counter:
+    """Terms of a text and how often they occur."""
     found = Counter(WORDS.findall(text.lower()) if text else ())
     starts, words = Counter(), Counter()
     for w, n in found.items():
         for k in BEGINNINGS:
-            if len(w) > k and (wanted is None or w[:k] in wanted):
+            if len(w) > k:
                 starts[w[:k] + "-"] += n
                 words[w[:k] + "-"] += 1
     found.update(starts)
@@ -74,14 +79,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             (ones if label else zeros).update(term_counts(text).keys())
-        if len(ones) + len(zeros) > HELD_TERMS:
-            yield rows()
-            ones, zeros = Counter(), Counter()
+            if len(ones) + len(zeros) > HELD_TERMS:
+                yield rows()
+                ones, zeros = Counter(), Counter()
     if ones or zeros:
         yield rows()
 
 
-def vocabulary(sampled: DataFrame, n_ones: int, n_zeros: int) -> tuple[list[str], np.ndarray]:
+def vocabulary(sampled: DataFrame, n_ones: int, n_zeros: int) -> tuple[pa.Array, np.ndarray]:
     """All terms of the sample in order, and the G statistic of each one's two-by-two table with the label."""
     total = sampled.select("text", "label").mapInArrow(_counted, "term string, ones long, zeros long").groupBy("term").agg(
         F.sum("ones").alias("a"), F.sum("zeros").alias("b")).toArrow().sort_by("term")
@@ -92,26 +97,112 @@ def vocabulary(sampled: DataFrame, n_ones: int, n_zeros: int) -> tuple[list[str]
         return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, rows * share, 1))
 
     g = 2 * (part(a, n_ones, share) + part(b, n_zeros, share) + part(n_ones - a, n_ones, 1 - share) + part(n_zeros - b, n_zeros, 1 - share))
-    return total.column("term").to_pylist(), np.where(g > 1e-9, g, 0.0)
+    return total.column("term").combine_chunks(), np.where(g > 1e-9, g, 0.0)
+
+
+class TermNumbers:
+    """Numbers of the vocabulary's terms, held as sorted hashes and one array of strings; a text's words are looked up once."""
+
+    def __init__(self, terms: pa.Array) -> None:
+        self.terms, self.seed = terms, 0
+        while True:
+            hashed = self._hashed(terms.to_pylist())
+            order = np.argsort(hashed, kind="stable")
+            self.hashes, self.order = hashed[order], order.astype(np.int32)
+            if not (self.hashes[1:] == self.hashes[:-1]).any():
+                break
+            self.seed += 1
+        # by the number of a beginning, the marks that several words of a text have it
+        self.marks = {}
+        for least in FAMILY:
+            at = np.flatnonzero(pc.ends_with(terms, f"-{least}").to_numpy(zero_copy_only=False))
+            self.marks[least] = np.full(len(terms), -1, np.int32)
+            self.marks[least][self._find([t[:-1] for t in terms.take(pa.array(at)).to_pylist()])] = at
+        self._clear()
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": {}, "own": None, "starts": None}
 
-def _with_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Row 0 is for words without any term."""
+        self.rows: dict[str, int] = {}
+        self.own, self.starts = np.full(1, -1, np.int32), np.full((1, len(BEGINNINGS)), -1, np.int32)
+
+    def _hashed(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter((xxh3_64_intdigest(x, self.seed) for x in strings), np.uint64, len(strings))
+
+    def _find(self, strings: list[str]) -> np.ndarray:
+        """The strings' numbers, -1 for what is no term."""
+        out = np.full(len(strings), -1, np.int32)
+        if len(self.hashes) and strings:
+            hashed = self._hashed(strings)
+            at = np.minimum(np.searchsorted(self.hashes, hashed), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashed)
+            found = self.order[at[hit]]
+            same = pc.equal(self.terms.take(pa.array(found)), pa.array([strings[i] for i in hit.tolist()], pa.string())).to_numpy(zero_copy_only=False)
+            out[hit[same]] = found[same]
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        own = self._find(words)
+        starts = np.full((len(words), len(BEGINNINGS)), -1, np.int32)
+        for j, k in enumerate(BEGINNINGS):
+            long = [i for i, w in enumerate(words) if len(w) > k]
+            starts[long, j] = self._find([words[i][:k] + "-" for i in long])
+        known = (own >= 0) | (starts >= 0).any(axis=1)
+        self.rows.update(zip(words, np.where(known, len(self.own) + np.cumsum(known) - 1, 0).tolist()))
+        self.own, self.starts = np.concatenate((self.own, own[known])), np.concatenate((self.starts, starts[known]))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges of the texts' lists, and the numbers and counts (as of ``term_counts``) of their terms, by rising number."""
+        if len(self.rows) > HELD_TERMS:
+            self._clear()
+        split = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        words = [w for ws in split for w in ws]
+        row = list(map(self.rows.get, words))
+        if None in row:
+            self._learn(list(dict.fromkeys(w for w, r in zip(words, row) if r is None)))
+            row = list(map(self.rows.__getitem__, words))
+        row, doc = np.array(row, np.int64), np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
+        key, n = np.unique((doc * len(self.own) + row)[row > 0], return_counts=True)
+        doc, row = key // len(self.own), key % len(self.own)
+        held, size = self.own[row] >= 0, max(1, len(self.terms))
+        keys, counts = [doc[held] * size + self.own[row[held]]], [n[held]]
+        start = self.starts[row]
+        held = start >= 0
+        start, which = np.unique((doc[:, None] * size + start)[held], return_inverse=True)
+        keys.append(start)
+        counts.append(np.bincount(which, np.broadcast_to(n[:, None], held.shape)[held], len(start)).astype(np.int64))
+        different = np.bincount(which, minlength=len(start))
+        for least, marks in self.marks.items():
+            several = start[different >= least]
+            mark = marks[several % size]
+            keys.append((several - several % size + mark)[mark >= 0])
+            counts.append(np.ones(len(keys[-1]), np.int64))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys)
+        keys = keys[order]
+        return np.searchsorted(keys, np.arange(len(texts) + 1) * size), (keys % size).astype(np.int32), counts[order].astype(np.int32)
+
+
+def _with_terms(docs: DataFrame, numbers) -> DataFrame:
     """``doc_id``, and the vocabulary's terms in its whole text: steps between their rising numbers, and counts."""
-    number = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = number.value
-        wanted = {t.split("-")[0] for t in index if "-" in t}
         for batch in batches:
-            ends, found, counts = [0], array("i"), array("i")
-            for text in batch.column("text").to_pylist():
-                row = sorted((index[t], n) for t, n in term_counts(text, wanted).items() if t in index)
-                found.extend(t - before for (t, _), before in zip(row, [0, *(t for t, _ in row)]))
-                counts.extend(n for _, n in row)
-                ends.append(len(found))
-            edges = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(edges, pa.array(np.frombuffer(x, np.int32) if x else [], pa.int32())) for x in (found, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "terms", "counts"])
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                edges, found, counts = numbers.value.encode(part.column("text").to_pylist())
+                steps = np.diff(found, prepend=np.int32(0))
+                first = edges[:-1][edges[1:] > edges[:-1]]
+                steps[first] = found[first]
+                edges = pa.array(edges.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (steps, counts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "terms", "counts"])
 
     return docs.mapInArrow(encode, "doc_id long, terms array<int>, counts array<int>")
 
@@ -200,15 +291,21 @@ class Voter:
                 power = sim * self.vote[at]
                 yield (float((power * self.labels[at]).sum() / power.sum()) if len(at) else 0.0), at, sim
 
-    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[dict]]]:
-        """Score and evidence of texts, given by their terms and counts."""
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, nearest examples and their similarities of texts, given by their terms and counts."""
         full = [i for i, (terms, _) in enumerate(rows) if self.index is not None and self.weight[terms].any()]
-        out: list[tuple[float, list[dict]]] = [(float(self.bare), [])] * len(rows)
+        out = [(float(self.bare), np.zeros(0, np.int64), np.zeros(0))] * len(rows)
         for i, (raw, at, sim) in zip(full, self._votes([self.vector(*rows[i]) for i in full])):
-            evidence = [{"doc_id": d, "similarity": s, "label": y} for d, s, y in zip(self.ids[at].tolist(), sim.tolist(), self.labels[at].tolist())]
-            out[i] = float(self.calibrated(np.array([raw]))[0]), evidence
+            out[i] = float(self.calibrated(np.array([raw]))[0]), at, sim
         return out
 
+    def evidence(self, found: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.ListArray:
+        """The nearest examples with similarity and label, for results of ``scores``."""
+        edges = pa.array(np.concatenate(([0], np.cumsum([len(at) for _, at, _ in found]))).astype(np.int32))
+        at, sim = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        values = [self.ids[at], sim, self.labels[at].astype(np.int32)]
+        return pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(x) for x in values], fields=list(EVIDENCE.value_type)))
+
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id``, ``score`` and ``evidence``, the nearest examples with similarity and label."""
@@ -217,10 +314,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     sampled = stored(labelled.sample(docs, rows, counts, PER_LABEL), "labelled")
     have = {r["label"]: r["n"] for r in sampled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     terms, g = vocabulary(sampled, have.get(1, 0), have.get(0, 0))
-    encoded = stored(_with_terms(docs, terms), "terms")
+    numbers = docs.sparkSession.sparkContext.broadcast(TermNumbers(terms))
+    encoded = stored(_with_terms(docs, numbers), "terms")
     df, n_docs = _document_frequencies(encoded, len(terms))
     weight = (np.log((n_docs + 1) / (df + 1)) + 1e-3) * np.sqrt(g)
-    examples = _with_terms(sampled.select("doc_id", "text"), terms).join(sampled.select("doc_id", "label"), "doc_id").toArrow().sort_by("doc_id")
+    examples = _with_terms(sampled.select("doc_id", "text"), numbers).join(sampled.select("doc_id", "label"), "doc_id").toArrow().sort_by("doc_id")
     rows = [(i, t.astype(np.int32), c, y) for part in examples.to_batches()
             for i, (t, c), y in zip(part.column("doc_id").to_pylist(), _encoded(part), part.column("label").to_pylist())]
     share = {y: counts[y] / n for y, n in have.items()}
@@ -228,16 +326,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", tex
     shared = docs.sparkSession.sparkContext.broadcast(voter)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, known = shared.value, {}  # copies of a text are answered once
         for batch in batches:
-            rows = _encoded(batch)
-            keys = [t.tobytes() + c.tobytes() for t, c in rows]
-            known = dict(zip(keys, rows))  # copies of a text are answered once
-            known = dict(zip(known, model.scores(list(known.values()))))
-            out = [known[key] for key in keys]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], EVIDENCE)],
-                names=["doc_id", "score", "evidence"])
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                rows = _encoded(part)
+                keys = [hashlib.md5(t.tobytes() + c.tobytes(), usedforsecurity=False).digest() for t, c in rows]
+                if len(known) > KNOWN_TEXTS:
+                    known = {}
+                new = {key: row for key, row in zip(keys, rows) if key not in known}
+                known.update(zip(new, model.scores(list(new.values()))))
+                out = [known[key] for key in keys]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in out], pa.float64()), model.evidence(out)],
+                                                 names=["doc_id", "score", "evidence"])
 
     return encoded.mapInArrow(vote, "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, label: int>>")
 

@@ -1,7 +1,10 @@
 import itertools
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +178,46 @@ def test_latent_votes_are_plain_cosine_votes():
         p = [max(float(row @ e), 0) ** quality.POWER * v for e, v in zip(model.examples, model.vote)]
         want.append(sum(x for x, y in zip(p, model.labels) if y) / sum(p))
     assert np.allclose(model._votes(z), want, atol=1e-4)
+
+
+def test_term_numbers_are_those_of_plain_counts_in_little_memory(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(400)] + ["straße", "Straßen", "x1y", "ÜBER"]
+    texts = [None, "", "12 !!"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 80))) for _ in range(60)]
+    vocabulary = sorted({t for x in texts[:40] for t in toxicity.term_counts(x)}, key=str.encode)
+    number = {t: i for i, t in enumerate(vocabulary)}
+    want = [sorted((number[t], n) for t, n in toxicity.term_counts(x).items() if t in number) for x in texts]
+
+    def encoded(numbers, at_once):
+        out = []
+        for a in range(0, len(texts), at_once):
+            edges, terms, counts = numbers.encode(texts[a:a + at_once])
+            out += [list(zip(terms[i:j].tolist(), counts[i:j].tolist())) for i, j in itertools.pairwise(edges.tolist())]
+        return out
+
+    numbers = toxicity.TermNumbers(pa.array(vocabulary, pa.string()))
+    assert encoded(numbers, 7) == want and encoded(pickle.loads(pickle.dumps(numbers)), 100) == want
+    assert encoded(toxicity.TermNumbers(pa.array([], pa.string())), 9) == [[]] * len(texts)
+    monkeypatch.setattr(toxicity, "HELD_TERMS", 20)  # words are forgotten again and again
+    assert encoded(numbers, 3) == want
+    # hashes that words share: the strings decide
+    plain = toxicity.xxh3_64_intdigest
+    monkeypatch.setattr(toxicity, "xxh3_64_intdigest", lambda x, seed: plain(x, seed) % 64 if x not in number else plain(x, seed) >> 1)
+    assert encoded(toxicity.TermNumbers(pa.array(vocabulary, pa.string())), 7) == want
+    monkeypatch.setattr(toxicity, "xxh3_64_intdigest", plain)
+    large = pa.array([f"{i:06d}" for i in range(200_000)])
+    tracemalloc.start()
+    held = toxicity.TermNumbers(large)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held.hashes.nbytes and used < 30 * len(large)  # a dict of strings takes five times as much
+
+
+def test_copies_of_a_text_get_one_answer_in_any_batch(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["idiot", "idiots", "kind", "day", "sun", "rain"]) for _ in range(8)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, texts[i % 120]) for i in range(700)], "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame([(i, int("idiot" in texts[i])) for i in range(120)], "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, marks).collect()
+    assert len(rows) == 700 and len({(texts[r.doc_id % 120], r.score, tuple(r.evidence)) for r in rows}) == len(set(texts))
+    assert all(e.similarity > 0 and e.label in (0, 1) for r in rows for e in r.evidence)

@@ -118,7 +118,9 @@ def find_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = stored(rows.withColumn("base", base_spans(F.col("text"))).select(
         "doc_id", "h", "base",
-        F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), _contexts(F.col("text"), s).alias("near"))).alias("contexts")), "findings")
+        F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], s["value"]).alias("entity"), _contexts(F.col("text"), s).alias("near"))).alias("contexts"),
+        # a text's terms are wanted beside its findings only; so the other texts need not be sent anywhere
+        F.when(F.size("base") > 0, _terms(_plain(F.col("text")))).alias("terms")), "findings")
     terms = disclosing_terms(rows, found)
     extra = _term_spans(rows, terms)
     joined = rows.join(found.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), "base").distinct(),
@@ -135,8 +137,8 @@ def disclosing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     near = stored(near.join(entities.select("entity", "n_e"), "entity"), "near")
     n, most = found.agg(F.countDistinct("h")).first()[0], near.agg(F.max("n_e")).first()[0] or 0
     inside = near.select("entity", "n_e", "h", "near", F.explode("terms").alias("term"))
-    texts = rows.join(near.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    held = stored(texts.select("h", F.explode(_terms(_plain(F.col("text")))).alias("term")).unionByName(inside.select("h", "term")).distinct(), "held")
+    texts = found.where(F.col("terms").isNotNull()).select("h", "terms").join(near.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    held = stored(texts.select("h", F.explode("terms").alias("term")).unionByName(inside.select("h", "term")).distinct(), "held")
     # these texts alone bound a term's count from below, and so its PMI from above: common words go here
     limit = float(n) ** (1 - DISCLOSURE) * float(most) ** DISCLOSURE * (1 + 1e-9)
     seen = stored(held.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(F.col("n_near") <= limit), "seen")
@@ -169,7 +171,8 @@ def _term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """``t_id``, ``t_h``, ``terms``: the places of a document's disclosing terms."""
     mine = terms.distinct().groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set("term")).alias("list"), F.max("share").alias("share")).withColumnsRenamed({"doc_id": "t_id", "h": "t_h"})
-    held = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
+    # few documents have any, so the texts stay where they are
+    held = rows.join(broadcast_if_small(stored(mine, "mine")), F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("list", "|"), F.lit(r")(?!\p{L})"))
     return held.select("t_id", "t_h", spans_of(F.col("text"), pattern, TERM, len(KINDS)).alias("terms")).dropDuplicates(["t_id", "t_h"])
 

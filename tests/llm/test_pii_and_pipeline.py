@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rimlight.llm import pii
+from rimlight.llm import common, pii
 
 # the contract's patterns, as they are
 PLAIN = {
@@ -161,3 +161,28 @@ def test_stages_of_nothing(spark, tmp_path, name, stage):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_texts_stay_where_they_are_for_a_few_terms(spark):
+    rows = spark.createDataFrame([(1, "Kim here", 5), (2, "none", 6), (None, "Kim", 7)], "doc_id long, text string, h long")
+    terms = spark.createDataFrame([(1, 5, "kim", 1.0), (None, 7, "kim", 1.0)], "doc_id long, h long, term string, share double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pii._term_spans(rows, terms)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r.t_id, r.t_h, tuple(s.value for s in r.terms)) for r in found.collect()} == {(1, 5, ("Kim",)), (None, 7, ("Kim",))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_to_python_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows, want in (("10000", 1000), ("0", 1000), ("256", 256)):
+            spark.conf.set(name, rows)
+            common.ready(spark)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)

@@ -91,7 +91,8 @@ def shingle_set(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
     rolled = np.full(len(words) - n + 1, n, np.uint64)
     for j in range(n):
         rolled = rolled * _MULTIPLIER + hashed[j:j + len(rolled)]
-    return np.unique(_mixed(rolled))
+    rolled = np.sort(_mixed(rolled))
+    return rolled[np.concatenate(([True], rolled[1:] != rolled[:-1]))]
 
 
 class Bands:
@@ -100,6 +101,7 @@ class Bands:
     def __init__(self, percent: int = PERCENT) -> None:
         self.percent = percent
         self.high = [0]
+        self.salts: dict[int, np.ndarray] = {}
 
     def of(self, size: int) -> int:
         while self.high[-1] < size:
@@ -113,6 +115,12 @@ class Bands:
         most = (top + top * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
         return most, (most // 2 + 1) * 6 // 5 + 2, 1 if top <= SMALL else 2
 
+    def salt(self, band: int, parts: int) -> np.ndarray:
+        """What sets the signatures of a band and of its parts apart."""
+        if band not in self.salts:
+            self.salts[band] = _mixed(np.arange(parts, dtype=np.uint64) * _MULTIPLIER ^ _mixed(np.array([band], np.uint64))[0])
+        return self.salts[band]
+
     def signatures(self, members: np.ndarray) -> np.ndarray:
         band = self.of(len(members))
         out = []
@@ -121,14 +129,13 @@ class Bands:
                 continue
             differ, partitions, least = self.plan(b)
             parts = PARTS * partitions
-            place = ((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as members are
-            filled, first, counts = np.unique(place, return_index=True, return_counts=True)
-            body, held = np.zeros(parts, np.uint64), np.zeros(parts, np.int64)
-            body[filled], held[filled] = np.add.reduceat(_mixed(members ^ np.uint64(b)), first), counts
+            place = (((members >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)  # ascending, as members are
+            body, held = np.zeros(parts, np.uint64), np.bincount(place, minlength=parts)
+            filled = np.flatnonzero(held)
+            body[filled] = np.add.reduceat(_mixed(members ^ np.uint64(b)), (np.cumsum(held) - held)[filled])
             # a signature leaves out one part of its partition
             body, held = (x.reshape(partitions, PARTS).sum(axis=1, keepdims=True, dtype=x.dtype) - x.reshape(partitions, PARTS) for x in (body, held))
-            seed = _mixed(np.array([b], np.uint64))[0]
-            sigs = _mixed(body.ravel() ^ _mixed(np.arange(parts, dtype=np.uint64) * _MULTIPLIER ^ seed))
+            sigs = _mixed(body.ravel() ^ self.salt(b, parts))
             telling = held >= least
             cost = telling.any(axis=1).sum() + telling.all(axis=1).sum()
             out.append(sigs[telling.ravel()] if cost > differ else sigs)
@@ -223,13 +230,16 @@ def _buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((doc, sig))
     sig, doc = sig[order], doc[order]
     at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, int)
-    rows, known = [], set()
+    marks, known, rows = doc.tobytes(), set(), []
     for a, e in zip(at.tolist(), np.append(at[1:], len(sig)).tolist()):
-        ids = np.unique(doc[a:e])
-        mark = ids.tobytes()
-        if len(ids) < 2 or mark in known:
+        mark = marks[8 * a:8 * e]
+        if mark in known:
             continue
         known.add(mark)
+        ids = np.unique(doc[a:e])  # an id may be there several times
+        if len(ids) < 2 or (len(ids) < e - a and ids.tobytes() in known):
+            continue
+        known.add(ids.tobytes())
         rows.append((int(sig[a].astype(np.int64)), ids))
     return pd.DataFrame(rows, columns=["sig", "ids"])
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,22 @@ def test_few_or_no_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in hilbert_ann.nearest(df, F.col("vec_id") % 100 == 0).collect())
     assert got == [(0, 1, 100, 0.0), (0, 2, 3, 4.0), (100, 1, 0, 0.0), (100, 2, 3, 4.0)]
     assert hilbert_ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_signatures_are_cut_by_places_that_are_worked_out_once():
+    rng, bands = np.random.default_rng(8), jaccard_join.Bands()
+    for n in (1, 4, 5, 40, 300):
+        words = [b"%d" % x for x in rng.integers(0, 30, n)]
+        members = jaccard_join.shingle_set(words)
+        assert len(members) == len({tuple(words[i:i + 5]) for i in range(max(1, n - 4))}) and (members[1:] > members[:-1]).all()
+        assert bands.signatures(members).tolist() == jaccard_join.Bands().signatures(members).tolist()
+    assert bands.salts and all(bands.salt(b, len(s)) is s for b, s in bands.salts.items())
+
+
+def test_buckets_hold_each_set_of_ids_once():
+    rng = np.random.default_rng(9)
+    sigs, ids = rng.integers(0, 200, 1500), rng.integers(0, 12, 1500)
+    packed = pd.DataFrame({"sigs": [sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()], "ids": [np.diff(ids, prepend=0).tobytes()]})
+    want = {tuple(sorted(set(ids[sigs == s].tolist()))) for s in set(sigs.tolist())}
+    got = [tuple(x) for x in jaccard_join._buckets(packed)["ids"]]
+    assert sorted(got) == sorted(x for x in want if len(x) > 1)

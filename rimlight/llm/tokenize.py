@@ -22,7 +22,7 @@ PIECES = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\
 #: Characters whose class (letter, number, space) no Unicode version or library disputes.
 COMMON = r"\t\n\r -~¡-¬®-±´-¸º»¿-ſ‐-―‘-‟"
 #: Pieces kept by a worker, some 150 bytes each; the store starts anew when full.
-MAX_PIECES = 500_000
+MAX_PIECES = 200_000
 
 
 def byte_characters() -> dict[int, int]:
